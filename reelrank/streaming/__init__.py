@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The application this library models has no streaming path: no sources read
+as streams, no watermarks, no event-time windows and no stateful operators.
+Its batch outputs (rules, ALS lists, popularity) are refreshed by re-running
+the batch jobs, guarded by ``reelrank.sources.sinks.materialize``.  Nothing is
+added here, so no operator exists that the modelled application lacks.
+"""
