@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelrank.functions.catalog import detail_present, project_movie_detail
+from reelrank.functions.catalog import DETAIL_FIELDS, project_movie_detail
 from reelrank.functions.lists import ordered_list
 from reelrank.operators.popular import external_id_map, popular_id_list
 
@@ -75,9 +75,9 @@ def resolve_feed(feed: DataFrame, links: DataFrame, key: str) -> DataFrame:
 def movie_details(catalog: DataFrame, links: DataFrame) -> DataFrame:
     """Trimmed detail records for every mapped film whose detail document is
     present: movieId, tmdbId and the detail fields."""
-    docs = catalog.filter(detail_present("detail"))
-    mapped = external_id_map(links).join(docs, "tmdbId")
-    return mapped.select("movieId", "tmdbId", *project_movie_detail("detail", "videos", "movieId")[:-1])
+    docs = project_movie_detail(catalog, keep=("tmdbId",))
+    return (external_id_map(links).join(docs, "tmdbId")
+            .select("movieId", "tmdbId", *DETAIL_FIELDS, F.col("movieId").alias("id")))
 
 
 def movie_pages(movies: DataFrame, links: DataFrame, related: DataFrame,

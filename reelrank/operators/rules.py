@@ -13,6 +13,7 @@ ships at most ``top_k`` rows per task), and the surviving lists are small.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +40,17 @@ def mine_rules(baskets: DataFrame, min_support: float = MIN_SUPPORT,
     fp = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence)
     if num_partitions:
         fp = fp.setNumPartitions(num_partitions)
-    return fp.fit(tx)
+    # ``fit`` only counts items; the itemsets are mined lazily afterwards and
+    # rule generation reads them twice (candidates and their join).  Keep
+    # the baskets cached until the itemsets are materialised once, then keep
+    # only the itemsets.
+    tx = tx.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = fp.fit(tx)
+        model.freqItemsets.persist(StorageLevel.MEMORY_AND_DISK).count()
+    finally:
+        tx.unpersist()
+    return model
 
 
 def frequent_itemsets(model) -> DataFrame:
