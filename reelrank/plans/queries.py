@@ -70,7 +70,7 @@ _models_lock = threading.Lock()
 def _fitted(kind: str, spark: SparkSession, sf: str, build: Callable[[], object]):
     """Fit once per (session, tables, kind): several queries read one model,
     as the modelled app's jobs read one saved model."""
-    key = (kind, id(spark.sparkContext), sf)
+    key = (kind, spark.sparkContext.applicationId, sf)
     with _models_lock:
         if key not in _models:
             _models[key] = build()
