@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelrank.functions.titles import clean_title
+from reelrank.operators.ranking import row_number_within
 from reelrank.operators.ratings import MIN_RATING_FOR_RULES, high_rated
 
 # Per-user caps of the modelled app ("best" as coded; the
@@ -28,13 +29,12 @@ BEST_CAP = 30
 RECENT_CAP = 20
 
 
-def _best():
-    return Window.partitionBy("userId").orderBy(
-        F.col("rating").desc(), F.col("timestamp").desc(), F.col("movieId").asc())
+def _best_order():
+    return [F.col("rating").desc(), F.col("timestamp").desc(), F.col("movieId").asc()]
 
 
-def _recent():
-    return Window.partitionBy("userId").orderBy(F.col("timestamp").desc(), F.col("movieId").asc())
+def _recent_order():
+    return [F.col("timestamp").desc(), F.col("movieId").asc()]
 
 
 def clean_movies(movies: DataFrame) -> DataFrame:
@@ -43,23 +43,28 @@ def clean_movies(movies: DataFrame) -> DataFrame:
 
 
 def rank_best(df: DataFrame) -> DataFrame:
-    """Adds ``rank_best``: per user by rating desc, time desc, film id asc
-    (the film id makes equal (rating, time) pairs rank deterministically)."""
-    return df.withColumn("rank_best", F.row_number().over(_best()))
+    """Adds ``rank_best`` to every row: per user by rating desc, time desc,
+    film id asc (the film id makes equal (rating, time) pairs rank
+    deterministically).  Full ranking, balanced for hot users
+    (``ranking.row_number_within``)."""
+    return row_number_within(df, "userId", _best_order(), "rank_best")
 
 
 def rank_recent(df: DataFrame) -> DataFrame:
-    """Adds ``rank_recent``: per user by time desc, film id asc."""
-    return df.withColumn("rank_recent", F.row_number().over(_recent()))
+    """Adds ``rank_recent``: per user by time desc, film id asc (full ranking)."""
+    return row_number_within(df, "userId", _recent_order(), "rank_recent")
 
 
 def top_per_user(df: DataFrame, cap: int = BASKET_CAP, by: str = "best") -> DataFrame:
-    """Rows ranked within the first ``cap`` per user (``by``: best | recent)."""
-    if by == "best":
-        return rank_best(df).filter(F.col("rank_best") <= cap)
-    if by == "recent":
-        return rank_recent(df).filter(F.col("rank_recent") <= cap)
-    raise ValueError(f"unknown ranking {by!r}")
+    """Rows ranked within the first ``cap`` per user (``by``: best | recent),
+    with the rank column.  ``row_number() <= cap`` plans as WindowGroupLimit,
+    so at most ``cap`` rows per user and task cross the shuffle."""
+    orders = {"best": _best_order, "recent": _recent_order}
+    if by not in orders:
+        raise ValueError(f"unknown ranking {by!r}")
+    name = f"rank_{by}"
+    w = Window.partitionBy("userId").orderBy(*orders[by]())
+    return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= cap)
 
 
 def basket_rows(ratings: DataFrame, items: DataFrame, min_rating: float = MIN_RATING_FOR_RULES,
