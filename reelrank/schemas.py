@@ -43,6 +43,13 @@ RELATED_INDEX = T.StructType([
     T.StructField("items", T.ArrayType(T.LongType())),
 ])
 
+POPULAR = T.StructType([
+    T.StructField("movieId", T.LongType()),
+    T.StructField("tmdbId", T.LongType()),
+    T.StructField("count", T.LongType()),
+    T.StructField("avg_rating", T.DoubleType()),
+])
+
 # One user per JSON line: the scalable form of the userId -> [movieId] cache.
 USER_LISTS = T.StructType([
     T.StructField("userId", T.LongType()),
