@@ -63,3 +63,11 @@ def test_exclude_seen(spark, fitted):
     flat = als.recommend_all(model, 10).select("userId", F.explode("recommendations.movieId").alias("movieId"))
     kept = als.exclude_seen(flat.withColumn("movieId", F.col("movieId").cast("long")), clean)
     assert kept.join(clean, ["userId", "movieId"]).count() == 0
+
+
+def test_cold_start_rows_are_dropped(spark, fitted):
+    _, model = fitted
+    probe = spark.createDataFrame([(1, 1, 0.0), (10**8, 1, 0.0), (1, 10**8, 0.0)],
+                                  "userId long, movieId long, rating double")
+    got = model.transform(probe).select("userId", "movieId").collect()
+    assert all(r.userId != 10**8 and r.movieId != 10**8 for r in got)
