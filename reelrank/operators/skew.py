@@ -1,0 +1,97 @@
+"""Semi-joins that stay balanced when one key holds a large share of the rows.
+
+AQE splits skewed sort-merge-join partitions only when both join inputs are
+plain shuffles.  A semi-join against an aggregate on the same key (keep the
+ratings of users with >= 5 ratings) has no shuffle on the aggregate side, so
+AQE cannot split it: a user holding a third of all ratings would reach one
+reducer task.  This module salts such keys instead:
+
+* hot keys are those holding more than ``1 / max_hot_keys`` of all rows and
+  more than ``min_hot_rows`` rows; by construction there are fewer than
+  ``max_hot_keys`` of them, so the hot-key table is broadcast with a proven
+  size bound;
+* a hot key's fact rows get a salt in ``[0, S)`` from a hash of the row
+  (deterministic, so recomputation after a lost executor gives the same
+  salt), with ``S`` proportional to the key's share of rows;
+* the key side lists every hot key once per salt (at most about
+  ``2 * max_hot_keys`` extra rows in total) and every other key once;
+* the semi-join then runs on (key, salt): a hot key is spread over ``S``
+  join partitions, every other key behaves as before.
+
+The fact table is scanned once; no rows are dropped or sampled.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_HOT_KEYS = 100_000
+MIN_HOT_ROWS = 1_000_000
+
+
+def hot_keys(counts: DataFrame, key: str, count_col: str, max_hot_keys: int = MAX_HOT_KEYS,
+             min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+    """key, _salts: keys with more than max(total / max_hot_keys, min_hot_rows)
+    counted rows, and the number of salts that cuts each into pieces of at
+    most that size.  Fewer than ``max_hot_keys`` rows: safe to broadcast."""
+    total = counts.agg(F.sum(count_col)).scalar()
+    threshold = F.greatest(total / F.lit(max_hot_keys), F.lit(float(min_hot_rows)))
+    return (counts.filter(F.col(count_col) > threshold)
+            .select(key, F.ceil(F.col(count_col) / threshold).cast("int").alias("_salts")))
+
+
+def semi_join(fact: DataFrame, keys: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """Rows of ``fact`` whose ``key`` appears in ``keys`` (a left-semi join).
+
+    ``hot`` (key, _salts), when given, lists the hot keys: their rows are
+    spread over ``_salts`` join partitions each.  ``None`` means no key is
+    hot and the join is the plain semi-join."""
+    if hot is None:
+        return fact.join(keys.select(key), key, "left_semi")
+    hot = F.broadcast(hot)
+    cols = fact.columns
+    others = [c for c in cols if c != key]
+    row_hash = F.xxhash64(*[F.col(c) for c in others]) if others else F.lit(0)
+    salted_fact = (fact.join(hot, key, "left")
+                   .withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(0))
+                               .otherwise(F.pmod(row_hash, F.col("_salts")).cast("int")))
+                   .drop("_salts"))
+    salted_keys = (keys.select(key).join(hot, key, "left")
+                   .select(key, F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
+                           .alias("_salt")))
+    return salted_fact.join(salted_keys, [key, "_salt"], "left_semi").select(*cols)
+
+
+def salted_semi_join(fact: DataFrame, keys: DataFrame, key: str, counts: DataFrame,
+                     count_col: str, max_hot_keys: int = MAX_HOT_KEYS,
+                     min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+    """``semi_join`` with the hot keys found from ``counts`` (always salted
+    plan; see ``collect_hot_keys`` to salt only when needed)."""
+    return semi_join(fact, keys, key, hot_keys(counts, key, count_col, max_hot_keys, min_hot_rows))
+
+
+def collect_hot_keys(spark, tables: dict[str, tuple[DataFrame, str, str]],
+                     max_hot_keys: int = MAX_HOT_KEYS,
+                     min_hot_rows: int = MIN_HOT_ROWS) -> dict[str, DataFrame | None]:
+    """Find the hot keys of several count tables in one job.
+
+    ``tables`` maps a name to (counts, key, count_col).  Returns, per name,
+    a small DataFrame (key, _salts) of its hot keys, or None when it has
+    none.  What reaches the driver is bounded: fewer than ``max_hot_keys``
+    rows per table by the definition of a hot key."""
+    from pyspark.sql import types as T
+
+    parts = [hot_keys(c, k, n, max_hot_keys, min_hot_rows)
+             .select(F.lit(name).alias("_t"), F.col(k).cast("long").alias("_k"), "_salts")
+             for name, (c, k, n) in tables.items()]
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    rows = found.collect()
+    out: dict[str, DataFrame | None] = {}
+    for name, (c, k, n) in tables.items():
+        mine = [(r["_k"], r["_salts"]) for r in rows if r["_t"] == name]
+        schema = T.StructType([T.StructField(k, T.LongType()), T.StructField("_salts", T.IntegerType())])
+        out[name] = spark.createDataFrame(mine, schema) if mine else None
+    return out
