@@ -4,7 +4,7 @@
 Each query is executed in full through the ``noop`` sink (every row is
 computed, nothing is collected to the driver); the median of $BENCH_RUNS
 timed runs per query (default 3; the median drops the cold first run), after
-$BENCH_WARMUP untimed passes (default 0).  Fitted models are dropped before
+$BENCH_WARMUP untimed passes over all queries (default 1: JIT and file-listing warm-up).  Fitted models are dropped before
 every run, so the FP-Growth and ALS queries include their training time.
 """
 
@@ -51,7 +51,7 @@ def main() -> None:
         Q.REGISTRY[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - t0
 
-    for _ in range(int(os.environ.get("BENCH_WARMUP", "0"))):
+    for _ in range(int(os.environ.get("BENCH_WARMUP", "1"))):
         for name in names:
             run(name)
     times = {name: round(statistics.median(run(name) for _ in range(runs)), 3) for name in names}
