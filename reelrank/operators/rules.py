@@ -38,8 +38,11 @@ def mine_rules(baskets: DataFrame, min_support: float = MIN_SUPPORT,
         raise ValueError("min_confidence must be in [0, 1]")
     tx = baskets.select(F.array_distinct(items_col).alias("items"))
     fp = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence)
-    if num_partitions:
-        fp = fp.setNumPartitions(num_partitions)
+    # Spark ML mines with as many item groups as the input has partitions;
+    # a basket table coalesced by AQE can have very few.  Use at least one
+    # group per core of the cluster.
+    fp = fp.setNumPartitions(num_partitions or max(
+        baskets.sparkSession.sparkContext.defaultParallelism, 1))
     # ``fit`` only counts items; the itemsets are mined lazily afterwards and
     # rule generation reads them twice (candidates and their join).  Keep
     # the baskets cached until the itemsets are materialised once, then keep
