@@ -28,6 +28,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # FP-Growth and ALS shuffle RDDs inside Spark ML: Kryo is faster there.
+        .config("spark.serializer", "org.apache.spark.serializer.KryoSerializer")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
