@@ -76,23 +76,28 @@ def exclude_seen(recs: DataFrame, ratings: DataFrame) -> DataFrame:
     return recs.join(ratings.select("userId", "movieId"), ["userId", "movieId"], "left_anti")
 
 
-def candidate_rows(model, users: DataFrame, candidates: int = GATE_CANDIDATES) -> DataFrame:
+def candidate_rows(model, users: DataFrame | None, candidates: int = GATE_CANDIDATES) -> DataFrame:
     """userId, pos, movieId, rating: each user's top ``candidates`` films.
-    Users unknown to the model yield no rows."""
-    recs = model.recommendForUserSubset(users.select("userId"), candidates)
+    Users unknown to the model yield no rows.  ``users=None`` means every
+    user the model knows (scored directly, without matching a user list)."""
+    if users is None:
+        recs = model.recommendForAllUsers(candidates)
+    else:
+        recs = model.recommendForUserSubset(users.select("userId"), candidates)
     return (recs.select("userId", F.posexplode("recommendations").alias("pos", "rec"))
             .select("userId", "pos", F.col("rec.movieId").cast("long").alias("movieId"),
                     F.col("rec.rating").alias("rating")))
 
 
-def recommend_for_users(model, users: DataFrame, movies: DataFrame, ratings: DataFrame,
+def recommend_for_users(model, users: DataFrame | None, movies: DataFrame, ratings: DataFrame,
                         candidates: int = GATE_CANDIDATES, min_votes: int = GATE_MIN_VOTES,
                         top_k: int = GATE_TOP_K) -> DataFrame:
     """Popularity-gated lists: in model order, the first ``top_k`` of each
     user's ``candidates`` films that have >= ``min_votes`` ratings.
 
     Columns: userId, rank, movieId, movie (title), genres, score (predicted
-    rating rounded half-even to 2 places), votes.
+    rating rounded half-even to 2 places), votes.  ``users=None``: all users
+    the model knows.
     """
     cands = candidate_rows(model, users, candidates)
     popular = movies_with_min_votes(movies, ratings, min_votes)
@@ -105,7 +110,7 @@ def recommend_for_users(model, users: DataFrame, movies: DataFrame, ratings: Dat
                     F.col("count").alias("votes")))
 
 
-def precompute_user_lists(model, users: DataFrame, movies: DataFrame, ratings: DataFrame,
+def precompute_user_lists(model, users: DataFrame | None, movies: DataFrame, ratings: DataFrame,
                           top_k: int = PRECOMPUTE_TOP_K, candidates: int = GATE_CANDIDATES,
                           min_votes: int = GATE_MIN_VOTES) -> DataFrame:
     """userId, items: the gated list per user as ordered film ids (the cache

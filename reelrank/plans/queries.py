@@ -351,15 +351,14 @@ def q_als_recommendations_flat(spark, sf):
 
 @query("als_popular_gated")
 def q_als_popular_gated(spark, sf):
-    users = _clean(spark, sf).select("userId").distinct()
-    return present(als.recommend_for_users(_als_model(spark, sf), users, tv.movies(spark, sf),
+    """Gated lists for every user the model was trained on."""
+    return present(als.recommend_for_users(_als_model(spark, sf), None, tv.movies(spark, sf),
                                            _ratings(spark, sf), min_votes=MIN_VOTES))
 
 
 @query("precomputed_user_recs")
 def q_precomputed_user_recs(spark, sf):
-    users = _clean(spark, sf).select("userId").distinct()
-    lists = als.precompute_user_lists(_als_model(spark, sf), users, tv.movies(spark, sf),
+    lists = als.precompute_user_lists(_als_model(spark, sf), None, tv.movies(spark, sf),
                                       _ratings(spark, sf), min_votes=MIN_VOTES)
     return present(lists, ordered_arrays=("items",))
 
