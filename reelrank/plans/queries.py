@@ -15,11 +15,12 @@ from __future__ import annotations
 import threading
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelrank import schemas
 from reelrank.operators import als, baskets, feeds, indexing, popular, ratings, rules, search
+from reelrank.functions.lists import ordered_list
 from reelrank.plans.present import present
 from reelrank.session import scratch_path
 from reelrank.sources import files, sinks
@@ -277,8 +278,9 @@ def q_brand_baskets(spark, sf):
 
 @query("transactions_distinct")
 def q_transactions_distinct(spark, sf):
-    """Brand lists with repeats (one entry per high-rated film), de-duplicated."""
-    rows = baskets.basket_rows(_ratings(spark, sf), tv.brands(spark, sf), cap=None)
+    """Brand lists with repeats (one entry per film of the user's capped
+    basket rows, so each list is bounded), de-duplicated."""
+    rows = baskets.basket_rows(_ratings(spark, sf), tv.brands(spark, sf), cap=TX_CAP)
     raw = rows.groupBy("userId").agg(F.collect_list("item").alias("items"))
     return present(baskets.distinct_items(raw), sorted_arrays=("items",))
 
@@ -371,20 +373,32 @@ def q_user_index_map(spark, sf):
 # ---------------------------------------------------------------- 8.x serving compositions
 
 # Stand-in tier tables for the user feed, in the schemas the feed reads
-# (userId, items).  The precomputed cache covers users 1..10, the range the
-# modelled app precomputes; its lists are the users' 5.0-rated films, so a
-# cached user may have an empty list.  The ALS-table stand-in lists each
-# user's films rated 4.5 or more; users without such ratings are absent.
+# (userId, items), bounded like the real ones.  The precomputed cache covers
+# users 1..10, the range the modelled app precomputes, with up to 10 films
+# each: the user's 5.0-rated films, most recent first, so a cached user may
+# have an empty list.  The ALS-table stand-in lists up to 20 films per user
+# (the ALS table's size): the user's best films rated 4.5 or more; users
+# without such ratings are absent.
+
+def _ranked_lists(rows, k, order):
+    w = Window.partitionBy("userId").orderBy(*order)
+    top = rows.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k)
+    return top.groupBy("userId").agg(ordered_list("movieId", "_rk").alias("items"))
+
 
 def _tier1_lists(spark, sf):
     r = _ratings(spark, sf).filter(F.col("userId").between(1, 10))
-    return r.groupBy("userId").agg(
-        F.array_sort(F.collect_list(F.when(F.col("rating") == 5.0, F.col("movieId")))).alias("items"))
+    fives = _ranked_lists(r.filter(F.col("rating") == 5.0), 10,
+                          [F.col("timestamp").desc(), F.col("movieId").asc()])
+    cached = r.select("userId").distinct()
+    return cached.join(fives, "userId", "left").select(
+        "userId", F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))
 
 
 def _tier2_lists(spark, sf):
     r = _ratings(spark, sf).filter(F.col("rating") >= 4.5)
-    return r.groupBy("userId").agg(F.array_sort(F.collect_list("movieId")).alias("items"))
+    return _ranked_lists(r, als.RECS_PER_USER,
+                         [F.col("rating").desc(), F.col("timestamp").desc(), F.col("movieId").asc()])
 
 
 @query("user_feed")
