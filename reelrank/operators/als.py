@@ -91,15 +91,18 @@ def candidate_rows(model, users: DataFrame | None, candidates: int = GATE_CANDID
 
 def recommend_for_users(model, users: DataFrame | None, movies: DataFrame, ratings: DataFrame,
                         candidates: int = GATE_CANDIDATES, min_votes: int = GATE_MIN_VOTES,
-                        top_k: int = GATE_TOP_K) -> DataFrame:
+                        top_k: int = GATE_TOP_K, exclude_rated: bool = False) -> DataFrame:
     """Popularity-gated lists: in model order, the first ``top_k`` of each
     user's ``candidates`` films that have >= ``min_votes`` ratings.
 
     Columns: userId, rank, movieId, movie (title), genres, score (predicted
     rating rounded half-even to 2 places), votes.  ``users=None``: all users
-    the model knows.
+    the model knows.  ``exclude_rated=True`` drops candidates the user has
+    already rated before gating (the modelled app keeps them).
     """
     cands = candidate_rows(model, users, candidates)
+    if exclude_rated:
+        cands = exclude_seen(cands, ratings)
     popular = movies_with_min_votes(movies, ratings, min_votes)
     per_user = Window.partitionBy("userId").orderBy("pos")
     return (cands.join(popular, "movieId")

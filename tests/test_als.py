@@ -71,3 +71,13 @@ def test_cold_start_rows_are_dropped(spark, fitted):
                                   "userId long, movieId long, rating double")
     got = model.transform(probe).select("userId", "movieId").collect()
     assert all(r.userId != 10**8 and r.movieId != 10**8 for r in got)
+
+
+def test_gated_lists_can_exclude_rated(spark, fitted):
+    clean, model = fitted
+    r = tv.ratings(spark, SF01)
+    users = spark.createDataFrame([(u,) for u in range(1, 40)], "userId long")
+    kept = als.recommend_for_users(model, users, tv.movies(spark, SF01), r, min_votes=30,
+                                   top_k=5, exclude_rated=True)
+    assert kept.join(r, ["userId", "movieId"]).count() == 0
+    assert kept.count() > 0
