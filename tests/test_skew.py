@@ -82,3 +82,19 @@ def test_capped_baskets_with_hot_user(spark, skew_conf):
     assert "WindowGroupLimit" in plan
     tx = baskets.build_baskets(r, items, cap=50).filter("userId = 7").first()
     assert len(tx["items"]) == 50
+
+
+def test_hot_film_in_feed_resolution_is_split_by_aqe(spark, skew_conf):
+    from reelrank.operators.feeds import resolve_feed
+
+    # 30,000 users all fall back to the same popular list: its films are hot keys
+    feed = spark.range(0, 30000).selectExpr(
+        "id as userId", "'popular' as source",
+        "case when id >= 0 then array(5L, 6L, 7L) end as items").repartition(8)
+    links = spark.range(0, 100).selectExpr("id as movieId", "cast(id as string) as imdbId",
+                                           "cast(id * 7 + 1 as double) as tmdbId")
+    out = resolve_feed(feed, links, "userId")
+    assert out.count() == 90000
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "skew=true" in plan or "isSkew=true" in plan or "AQEShuffleRead skewed" in plan
