@@ -24,9 +24,19 @@ def external_id_map(links: DataFrame) -> DataFrame:
             .select("movieId", F.col("tmdbId").cast("long").alias("tmdbId")))
 
 
-def with_external_id(df: DataFrame, links: DataFrame, how: str = "left") -> DataFrame:
-    """Attach ``tmdbId`` by film id (``how='inner'`` drops unmapped films)."""
-    return df.join(external_id_map(links), "movieId", how)
+def with_external_id(df: DataFrame, links: DataFrame, how: str = "left",
+                     bounded: bool = False) -> DataFrame:
+    """Attach ``tmdbId`` by film id (``how='inner'`` drops unmapped films).
+
+    ``bounded=True`` states that ``df`` is a top-n (a few rows): the link
+    table is first narrowed to those ids by a semi-join against the
+    broadcast top-n, so the lookup never shuffles the whole link table (a
+    left join can only broadcast its right side, and the full link table
+    may exceed the broadcast threshold)."""
+    ids = external_id_map(links)
+    if bounded:
+        ids = ids.join(F.broadcast(df.select("movieId")), "movieId", "left_semi")
+    return df.join(ids, "movieId", how)
 
 
 def popular_movies(ratings: DataFrame, links: DataFrame | None = None,
@@ -42,7 +52,7 @@ def popular_movies(ratings: DataFrame, links: DataFrame | None = None,
     if links is None:
         ranked = ranked.withColumn("tmdbId", F.lit(None).cast("long"))
     else:
-        ranked = with_external_id(ranked, links, "left")
+        ranked = with_external_id(ranked, links, "left", bounded=True)
     return ranked.select("rank", "movieId", "tmdbId", "count", "avg_rating")
 
 

@@ -34,5 +34,5 @@ def search_titles(movies: DataFrame, links: DataFrame | None, q: str | None,
     if links is None:
         hits = hits.withColumn("tmdbId", F.lit(None).cast("long"))
     else:
-        hits = with_external_id(hits, links, "left")
+        hits = with_external_id(hits, links, "left", bounded=True)  # at most `limit` rows
     return hits.select("movieId", "title", "tmdbId")

@@ -72,6 +72,14 @@ def main() -> None:
         plan = df._jdf.queryExecution().executedPlan().toString()
         s = summarise(plan)
         print(f"| {q} | " + " | ".join(str(s[n]) for n in names) + " |")
+    flagship = Q.REGISTRY["popular_movies"](spark, sf)
+    flagship.collect()
+    tree = final_only(flagship._jdf.queryExecution().executedPlan().toString())
+    tree = "\n".join(line[:160] for line in tree.split("\n"))
+    print("\n## Flagship query `popular_movies`, final plan\n")
+    print("```")
+    print(tree)
+    print("```")
     print("""
 Reading notes:
 
