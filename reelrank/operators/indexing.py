@@ -10,8 +10,8 @@ partition (the low 33 bits of ``monotonically_increasing_id``) plus the
 number of rows in all earlier partitions.  The per-partition counts table
 has one row per partition, so broadcasting it is bounded by the partition
 count, not by the data.  The sorted table is checkpointed to the shared
-checkpoint folder first, so both passes see the same partitions even if
-executors are lost in between.
+checkpoint folder first (persisted instead when none is configured), so both
+passes see the same partitions even if executors are lost in between.
 """
 
 from __future__ import annotations

@@ -53,7 +53,8 @@ def filter_active(ratings: DataFrame, min_user: int = MIN_USER_RATINGS,
     so a user can fall under ``min_user`` after films are removed.
 
     Both counts come from one scan (grouping sets) and are cut from their
-    lineage (checkpointed: one row per user or film).  The key sets are
+    lineage (checkpointed, or persisted without a checkpoint folder: one
+    row per user or film).  The key sets are
     aggregates on the join key, which AQE's skew handling cannot split, so
     hot users and films are found first (one small job whose result is
     bounded by ``max_hot_keys``) and only their rows are salted across
