@@ -65,3 +65,19 @@ def test_search_regex_and_literal(spark):
     m = _movies(spark)
     assert rows(search_titles(m, None, "^red"), "movieId") == [(1,)]
     assert rows(search_titles(m, None, "(x)", regex=False), "movieId") == [(3,)]
+
+
+def test_bounded_lookup_narrows_links_by_broadcast(spark):
+    # even with automatic broadcasts off, the link table is narrowed to the
+    # top-n ids through the bounded broadcast, never shuffled whole
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        r = spark.createDataFrame([(u, m, 4.0, 0) for m in range(30) for u in range(m % 7 + 1)], SCHEMA)
+        links = _links(spark, [(m, str(m), float(m + 100)) for m in range(30)])
+        pop = P.popular_movies(r, links, top_n=3, min_count=1)
+        assert pop.count() == 3
+        plan = pop._jdf.queryExecution().executedPlan().toString()
+        assert any("BroadcastHashJoin" in line and "LeftSemi" in line for line in plan.split("\n"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
