@@ -120,6 +120,15 @@ def q_user_recs_json_roundtrip(spark, sf):
         "userId", (F.col("pos") + 1).alias("position"), "movieId")
 
 
+@query("popular_json_roundtrip")
+def q_popular_json_roundtrip(spark, sf):
+    """The popularity table written as the JSON cache and read back (rank
+    restored from file order)."""
+    path = scratch_path(spark, "popular-json")
+    sinks.write_popular_json(_popular(spark, sf), path)
+    return present(files.read_popular_json(spark, path, array=False))
+
+
 # ---------------------------------------------------------------- 3.x projections and filters
 
 @query("clean_titles")

@@ -9,7 +9,7 @@ from reelrank.plans import queries as Q
 # Spark ML's exact top-k scoring multiplies user and item factor blocks.
 ALS_SCORING = {"als_recommend_all", "als_recommendations_flat", "als_popular_gated",
                "precomputed_user_recs"}
-WRITES = {"csv_roundtrip", "user_recs_json_roundtrip"}
+WRITES = {"csv_roundtrip", "user_recs_json_roundtrip", "popular_json_roundtrip"}
 
 
 def _plan(df):
