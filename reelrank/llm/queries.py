@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelrank.llm import exact_dedup, kd_shards, mixing
-from reelrank.llm.store import documents
+from reelrank.llm import (crf_toxicity, exact_dedup, fm_index, hd_language, kd_shards, mixing, sanitise,
+                          token_files)
+from reelrank.llm.store import documents, table
+from reelrank.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -44,3 +46,58 @@ def op5_kd_tree_shards(spark, sf):
     placed = kd_shards.kd_shards(documents(spark, sf), n_shards=8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op4_token_files_elias_fano(spark, sf):
+    """Every text's ids written to token files and read back: place, length and checksum."""
+    import public_tokenizers
+
+    path = scratch_path(spark, "tokens")
+    token_files.write_token_files(documents(spark, sf), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_token_files(spark, path)
+
+
+@query
+def op10_decontaminate_fm_index(spark, sf):
+    """Words of every document that a benchmark window covers, and the items they come from."""
+    got = fm_index.removal_spans(documents(spark, sf), table(spark, sf, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
+    return got.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
+                      fm_index.items_sha256(F.col("item_ids")).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+def _remainder(n: int):
+    """crc32 of the doc_id as text, modulo n: splits documents into training and held-out ones."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+@query
+def op1_toxicity_crf(spark, sf):
+    """Every document's toxicity score from a CRF trained on labels outside the held-out fifth."""
+    docs = documents(spark, sf)
+    tagger = crf_toxicity.train(docs, table(spark, sf, "labels"), _remainder(5) != 0)
+    got = crf_toxicity.score_documents(docs, tagger)
+    return got.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score",
+                      (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                      F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("spans"))
+
+
+@query
+def op6_language_hd(spark, sf):
+    """Every document's language by cosine with prototypes learned outside the held-out third."""
+    docs = documents(spark, sf)
+    protos = hd_language.prototypes(docs.filter(_remainder(3) != 1))
+    got = hd_language.predict(docs, protos)
+    return got.select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op8_sanitise_pii(spark, sf):
+    """Personal data of every document: counts by kind, a digest of the base spans and all spans."""
+    got = sanitise.find_spans(documents(spark, sf))
+    n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    join = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+    return got.select("doc_id", *[n(k).alias(f"n_{k}") for k in sanitise.KINDS],
+                      F.sha2(join(base), 256).alias("base_sha256"), join(F.col("spans")).alias("spans"))
