@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelrank.llm import (crf_toxicity, exact_dedup, fm_index, hd_language, kd_shards, mixing, sanitise,
+from reelrank.llm import (crf_toxicity, exact_dedup, fm_index, hd_language, jaccard_join, kd_shards, mixing, sanitise,
                           token_files)
 from reelrank.llm.store import documents, table
 from reelrank.session import scratch_path
@@ -101,3 +101,9 @@ def op8_sanitise_pii(spark, sf):
     base = F.filter("spans", lambda s: s["kind"] != "term")
     return got.select("doc_id", *[n(k).alias(f"n_{k}") for k in sanitise.KINDS],
                       F.sha2(join(base), 256).alias("base_sha256"), join(F.col("spans")).alias("spans"))
+
+
+@query
+def op7_jaccard_prefix_join(spark, sf):
+    """Every document's shingle count and the smallest doc_id it is linked with, over all documents."""
+    return jaccard_join.jaccard_components(documents(spark, sf))
