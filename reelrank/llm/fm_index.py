@@ -233,20 +233,34 @@ def _joined(rows: pd.DataFrame) -> pd.DataFrame:
                          "item_ids": [sorted({i for x in rows["item_ids"] for i in x})]})
 
 
+def _without_hits(bc, at: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            _, doc, _, _ = occurrences([words_of(t) for t in batch.column(at).to_pylist()], bc.value)
+            keep = np.ones(batch.num_rows, bool)
+            keep[doc] = False
+            yield batch.filter(pa.array(keep))
+    return run
+
+
+def _slices(benchmark: DataFrame, window: int, slice_bytes: int) -> list:
+    """The items' phrases as broadcasts of at most about slice_bytes of item text each."""
+    items = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-size // slice_bytes))
+    sc = benchmark.sparkSession.sparkContext
+    return [sc.broadcast(Phrases([tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()], window))
+            for k in range(n)]
+
+
 def removal_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Every document: doc_id, n_words, spans (word ranges and code-point offsets of what any benchmark
     window covers) and item_ids (as strings, sorted)."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // slice_bytes))
-    found = []
-    for k in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        bc = spark.sparkContext.broadcast(Phrases([tuple(r) for r in part.collect()], window))
-        found.append(docs.mapInPandas(_search(bc, only_hits=n > 1 and k > 0), HITS))
-    if n == 1:
+    found = [docs.mapInPandas(_search(bc, only_hits=k > 0), HITS) for k, bc in enumerate(_slices(benchmark, window, slice_bytes))]
+    if len(found) == 1:
         return found[0]
     out = found[0]
     for f in found[1:]:
@@ -254,6 +268,14 @@ def removal_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     return out.groupBy("doc_id").applyInPandas(_joined, HITS)
 
 
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """docs, all columns, without those that a benchmark window occurs in."""
+    at = docs.columns.index("text")
+    for bc in _slices(benchmark, window, slice_bytes):
+        docs = docs.mapInArrow(_without_hits(bc, at), docs.schema)
+    return docs
+
+
 def items_sha256(ids: F.Column) -> F.Column:
     return F.sha2(F.array_join(ids, ","), 256)
 

@@ -112,9 +112,9 @@ def _text_batches(batches: Iterator[pa.RecordBatch], size: int = 1000) -> Iterat
             yield b.slice(i, size)
 
 
-def _signed(percent: int):
+def _signed(percent: int, shingle: int):
     def run(batches):
-        s = Shingler()
+        s = Shingler(shingle)
         for b in _text_batches(batches):
             sets = [s.tokens(t) for t in b.column("text").to_pylist()]
             sig = [xxhash.xxh3_128_digest(a.tobytes()) if len(a) else None for a in sets]
@@ -125,9 +125,9 @@ def _signed(percent: int):
     return run
 
 
-def _runs(percent: int):
+def _runs(percent: int, shingle: int):
     def run(batches):
-        s = Shingler()
+        s = Shingler(shingle)
         for b in _text_batches(batches):
             sets = [s.tokens(t) for t in b.column("text").to_pylist()]
             keys = []
@@ -146,11 +146,13 @@ def _runs(percent: int):
     return run
 
 
-def _with_sets(batches):
-    s = Shingler()
-    for b in _text_batches(batches):
-        sets = [s.tokens(t) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y"), _lists(sets)], names=["x", "y", "tokens"])
+def _with_sets(shingle: int):
+    def run(batches):
+        s = Shingler(shingle)
+        for b in _text_batches(batches):
+            sets = [s.tokens(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y"), _lists(sets)], names=["x", "y", "tokens"])
+    return run
 
 
 def _of_ids(docs: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
@@ -158,15 +160,15 @@ def _of_ids(docs: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
     return docs.join(F.broadcast(ids) if rows <= BROADCAST_IDS else ids, "doc_id")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, percent: int, shingle: int, scratch: Scratch) -> DataFrame:
     """The pairs (x, y) of doc_ids whose whole sets are linked, as edges (a, b).  Sets are made from the texts
     again and sent to y's place, so that one shuffle carries one set a pair."""
     rows = pairs.count()
     mine = _of_ids(docs, pairs.select(F.col("x").alias("doc_id"), "y"), rows).select(
-        F.col("doc_id").alias("x"), "y", "text").mapInArrow(_with_sets, "x long, y long, tokens array<long>")
+        F.col("doc_id").alias("x"), "y", "text").mapInArrow(_with_sets(shingle), "x long, y long, tokens array<long>")
     hubs = pairs.select(F.col("y").alias("doc_id")).distinct()
     theirs = _of_ids(docs, hubs, rows).select(F.lit(None).cast("long").alias("x"), F.col("doc_id").alias("y"), "text") \
-        .mapInArrow(_with_sets, "x long, y long, tokens array<long>").select("y", F.col("tokens").alias("others"))
+        .mapInArrow(_with_sets(shingle), "x long, y long, tokens array<long>").select("y", F.col("tokens").alias("others"))
     both = F.size(F.array_intersect("tokens", "others"))
     linked = (100 + percent) * both >= percent * (F.size("tokens") + F.size("others"))
     return scratch.save(mine.join(theirs, "y").filter(linked).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
@@ -205,11 +207,11 @@ def _close(percent: int):
     return close
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """Every row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = scratch.save(docs.mapInArrow(_signed(percent), "doc_id long, n long, sig binary, prefix array<long>"))
+    rows = scratch.save(docs.mapInArrow(_signed(percent, shingle), "doc_id long, n long, sig binary, prefix array<long>"))
     classes = scratch.save(rows.filter("n > 0").groupBy("sig").agg(
         F.min("doc_id").alias("cid"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
     reps = classes.filter("cid is not null")
@@ -223,7 +225,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # Runs of K tokens for the classes with frequent prefix tokens.
     n_frequent = frequent.count()
     texts = _of_ids(docs, frequent.select(F.col("cid").alias("doc_id")), n_frequent).select("doc_id", "text")
-    runs = texts.mapInArrow(_runs(percent), "key long, cid long, n long")
+    runs = texts.mapInArrow(_runs(percent, shingle), "key long, cid long, n long")
     held2 = scratch.save(runs.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"))
     run_rows = runs.join(held2.select("key"), "key").join(frequent.select("cid", "copies"), "cid") \
         .select(F.lit(2).alias("kind"), "key", "cid", "n", "copies")
@@ -238,7 +240,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     met = buckets.join(hubs, ["kind", "key"]).filter((F.col("cid") != F.col("hub")) & fits).groupBy("cid", "hub").agg(F.count("*").alias("c"))
     nth = F.row_number().over(Window.partitionBy("cid").orderBy(F.col("c").desc(), "hub"))
     pairs = scratch.save(met.withColumn("nth", nth).filter("nth <= 2").select(F.col("cid").alias("x"), F.col("hub").alias("y")))
-    links = verified(docs, pairs, percent, scratch)
+    links = verified(docs, pairs, percent, shingle, scratch)
     comp = scratch.save(components(links, scratch))
 
     # Round 2: buckets with several components left.
@@ -277,7 +279,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     by_run = member.groupBy("family", "bi", "bj").applyInPandas(_close(percent), "x long, y long")
 
     more = scratch.save(by_single.unionByName(by_run).distinct())
-    links = links.unionByName(verified(docs, more, percent, scratch))
+    links = links.unionByName(verified(docs, more, percent, shingle, scratch))
     comp = scratch.save(components(links, scratch)).select(F.col("node").alias("cid"), "component")
     scratch.drop(open_)
 
@@ -285,10 +287,10 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "cid", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """docs, all columns: one document of each component (the one that names it) and all without words.
     Of rows repeating the kept doc_id one stays; rows with a null doc_id stay if their class has no other id."""
-    found = jaccard_components(docs, percent)
+    found = jaccard_components(docs, percent, shingle)
     stay = found.filter((F.col("n_shingles") == 0) | (F.col("component_id") == F.col("doc_id"))).filter(
         "doc_id is not null").select(F.col("doc_id").alias("llm_stay")).distinct()
     kept = docs.join(stay, F.col("doc_id").cast("long") == F.col("llm_stay"), "left_semi").dropDuplicates(["doc_id"])

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelrank.llm import (crf_toxicity, exact_dedup, fm_index, hd_language, jaccard_join, kd_shards, mixing, sanitise,
-                          token_files)
+from reelrank.llm import (crf_toxicity, exact_dedup, fm_index, hd_language, jaccard_join, kd_shards, mixing, pfp_dedup,
+                          sanitise, token_files)
 from reelrank.llm.store import documents, table
 from reelrank.session import scratch_path
 
@@ -107,3 +107,12 @@ def op8_sanitise_pii(spark, sf):
 def op7_jaccard_prefix_join(spark, sf):
     """Every document's shingle count and the smallest doc_id it is linked with, over all documents."""
     return jaccard_join.jaccard_components(documents(spark, sf))
+
+
+@query
+def op9_prefix_free_repeats(spark, sf):
+    """Bytes of every document that repeated 200-byte strings cover, and the hash of what is left."""
+    got = pfp_dedup.remove_repeats(documents(spark, sf))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return got.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
