@@ -151,7 +151,7 @@ def _with_sets(shingle: int):
         s = Shingler(shingle)
         for b in _text_batches(batches):
             sets = [s.tokens(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y"), _lists(sets)], names=["x", "y", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ys"), _lists(sets)], names=["doc_id", "ys", "tokens"])
     return run
 
 
@@ -164,11 +164,14 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int, shingle: int, scra
     """The pairs (x, y) of doc_ids whose whole sets are linked, as edges (a, b).  Sets are made from the texts
     again and sent to y's place, so that one shuffle carries one set a pair."""
     rows = pairs.count()
-    mine = _of_ids(docs, pairs.select(F.col("x").alias("doc_id"), "y"), rows).select(
-        F.col("doc_id").alias("x"), "y", "text").mapInArrow(_with_sets(shingle), "x long, y long, tokens array<long>")
+    partners = pairs.groupBy(F.col("x").alias("doc_id")).agg(F.collect_set("y").alias("ys"))  # a text is read once
+    mine = _of_ids(docs, partners, rows).select("doc_id", "ys", "text").mapInArrow(
+        _with_sets(shingle), "doc_id long, ys array<long>, tokens array<long>").select(
+        F.col("doc_id").alias("x"), F.explode("ys").alias("y"), "tokens")
     hubs = pairs.select(F.col("y").alias("doc_id")).distinct()
-    theirs = _of_ids(docs, hubs, rows).select(F.lit(None).cast("long").alias("x"), F.col("doc_id").alias("y"), "text") \
-        .mapInArrow(_with_sets(shingle), "x long, y long, tokens array<long>").select("y", F.col("tokens").alias("others"))
+    theirs = _of_ids(docs, hubs, rows).select("doc_id", F.array().cast("array<long>").alias("ys"), "text").mapInArrow(
+        _with_sets(shingle), "doc_id long, ys array<long>, tokens array<long>").select(
+        F.col("doc_id").alias("y"), F.col("tokens").alias("others"))
     both = F.size(F.array_intersect("tokens", "others"))
     linked = (100 + percent) * both >= percent * (F.size("tokens") + F.size("others"))
     return scratch.save(mine.join(theirs, "y").filter(linked).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
@@ -255,13 +258,14 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = S
     single = open_.filter("kind = 1").join(frequent.select("cid", "f"), "cid", "left").fillna(0, ["f"])
     x = single.select("key", *[F.col(c).alias(f"{c}_x") for c in ("cid", "n", "component", "f")])
     y = single.select("key", *[F.col(c).alias(f"{c}_y") for c in ("cid", "n", "component", "f")])
+    # two classes that both have frequent prefix tokens are in the run index
     across = x.join(y, "key").filter((F.col("cid_x") < F.col("cid_y")) & (F.col("component_x") != F.col("component_y"))
-                                     & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")))
-    # prefixes that share c tokens (c rare ones, and f frequent ones at most) leave room for c + rest in common
+                                     & ((F.col("f_x") == 0) | (F.col("f_y") == 0)) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")))
+    # prefixes that share c tokens, all of them rare, leave room for c + rest in common
     rest = lambda n: F.col(n) - (F.col(n) - F.floor((percent * F.col(n) + 99) / 100) + 1)
-    enough = (F.col("c") + F.least("f_x", "f_y") + F.greatest(rest("n_x"), rest("n_y"))
+    enough = (F.col("c") + F.greatest(rest("n_x"), rest("n_y"))
               >= F.ceil(percent * (F.col("n_x") + F.col("n_y")) / (100 + percent)))
-    by_single = across.groupBy("cid_x", "cid_y", "n_x", "n_y", "f_x", "f_y").agg(F.count("*").alias("c")).filter(enough) \
+    by_single = across.groupBy("cid_x", "cid_y", "n_x", "n_y").agg(F.count("*").alias("c")).filter(enough) \
         .select(F.col("cid_x").alias("x"), F.col("cid_y").alias("y"))
 
     runs_left = open_.filter("kind = 2")
