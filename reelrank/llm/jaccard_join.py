@@ -47,7 +47,7 @@ from reelrank.llm.store import Scratch
 SHINGLE = 4
 PERCENT = 85
 K = 3
-RARE = 24
+RARE = 48
 BLOCK = 512
 BROADCAST_IDS = 500_000  # id tables of up to so many rows are broadcast to the documents, larger ones joined by shuffle
 CACHE = 400_000
