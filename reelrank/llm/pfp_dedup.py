@@ -12,7 +12,7 @@ shuffled.
 A window is a suffix of its phrase up to the trigger followed by what comes
 after it in the parse, so the order of windows is found from two smaller
 orders.  Only places where two windows agree on all ``length`` bytes matter,
-so runs of equal entries are formed by hashes (128 bits: context and phrase)
+so runs of equal entries are formed by hashes (64 bits for contexts and windows, 128 for context and phrase)
 and the order between runs is not spelled out:
 
 1. parse: triggers grouped by the bytes after them (the context that every
@@ -20,8 +20,10 @@ and the order between runs is not spelled out:
 2. dictionary: remaining phrases grouped by all their bytes.  All windows of a
    phrase that occurs twice are repeated;
 3. phrases that occur once, but whose context repeats, end a repeat somewhere
-   inside.  Their windows, and those of one copy of each other phrase of that
-   context, are grouped one by one.
+   inside.  They, and one copy of each other phrase of that context, are cut
+   into pieces of ``STEP`` windows.  Pieces whose common bytes occur once hold
+   no repeat, pieces that occur twice are repeated wholly, and only the windows
+   of the others are grouped one by one.
 
 A context, phrase or window with a third of all rows is counted by partial
 aggregation and never gathered.  Tables that go back to the texts (places by
@@ -48,6 +50,7 @@ from reelrank.llm.store import Scratch, text_or_empty
 
 LENGTH = 200
 GRAM = 8
+STEP = 16  # neighbouring windows that are first looked at together
 BROADCAST_PLACES = 2_000_000  # so many (row, place) entries, 24 bytes each, are broadcast at most
 
 _BASE = np.uint64(0x9E6C63D0876A9A47)
@@ -55,6 +58,9 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _VALUE = np.random.default_rng(9).integers(1, 1 << 63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+PIECES = "core long, whole long, row long, place long, alone boolean"
+
+
 class Powers:
     """Powers of the hash base and its inverse, as far as the longest text needs."""
 
@@ -156,9 +162,15 @@ def _phrases(length: int):
     return run
 
 
-def _window_rows(length: int):
+def _pieces(length: int, step: int):
+    """Windows of the asked places in pieces of ``step`` neighbours, counted from the trigger.
+
+    ``core`` stands for the bytes that all windows of such a piece contain (with context and piece number),
+    ``whole`` for all bytes of those windows of the piece that the place has.
+    """
     after = length - trigger_span(length) + 1
-    names = ["key", "window", "row", "at", "alone"]
+    names = ["core", "whole", "row", "place", "alone"]
+    mix = lambda h, v: ((h.view(np.uint64) ^ v.astype(np.uint64)) * np.uint64(0x9FB21C651E98DF25)).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -171,12 +183,20 @@ def _window_rows(length: int):
                     p = Parsed(text.encode("utf-8", "surrogatepass"), powers)
                     place = np.array(places, np.int64)
                     a, n = place >> 16, place & 0xFFFF
-                    t, first, _ = p.phrases(length)
-                    key = p.hashes(t, t + after)[np.searchsorted(first, a)]
-                    at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                    for o, v in zip(out, (np.repeat(key, n), p.hashes(at, at + length), np.full(len(at), row, np.int64), at)):
+                    trigger, first, _ = p.phrases(length)
+                    of = np.repeat(np.arange(len(a)), n)  # the place of every window
+                    at = a[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                    t = trigger[np.searchsorted(first, a, side="right") - 1][of]
+                    piece = (t - at) // step
+                    new = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (piece[1:] != piece[:-1]))))
+                    last = np.append(new[1:], len(of)) - 1
+                    t, piece, lo, hi = t[new], piece[new], at[new], at[last]
+                    core = p.hashes(t - step * piece, t - step * piece - step + 1 + length)
+                    core = mix(mix(core, p.hashes(t, t + after)), piece)
+                    whole = mix(mix(p.hashes(lo, hi + length), t - lo), t - hi)
+                    for o, v in zip(out, (core, whole, np.full(len(t), row, np.int64), lo << 16 | (hi - lo + 1))):
                         o.append(v)
-                    single.append(np.repeat(np.array(alone, bool), n))
+                    single.append(np.array(alone, bool)[of[new]])
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(o)) for o in out), pa.array(np.concatenate(single))], names=names)
     return run
 
@@ -214,17 +234,28 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     size = F.col("place").bitwiseAND(0xFFFF)
     whole = phrases.join(twice, ["key", "phrase"]).select(
         "row", (F.shiftright("place", 16) * (1 << 24) + size + (length - 1)).alias("place"))
-    # 3. single windows where a phrase occurs once in a context that others share
+    # 3. phrases that occur once in a context that others share: by pieces, then by single windows
     shared = entries.groupBy("key").agg(F.count("*").alias("phrases"), F.min("n").alias("least")).filter("phrases > 1 and least = 1").select("key")
     ask = entries.join(shared, "key").select("one.row", "one.place", (F.col("n") == 1).alias("alone"))
-    ask = scratch.save(ask.groupBy("row").agg(F.collect_list(F.struct("place", "alone")).alias("l")).select(
-        "row", F.col("l.place").alias("places"), F.col("l.alone").alias("alone")))
-    windows = _joined(texts, ask, "inner").mapInArrow(_window_rows(length), "key long, window long, row long, at long, alone boolean")
-    windows = scratch.save(windows)
-    again = windows.groupBy("key", "window").agg(F.count("*").alias("n"), F.max("alone").alias("any")).filter("n > 1 and any")
-    parts = windows.filter("alone").join(again.select("key", "window"), ["key", "window"], "left_semi").select(
-        "row", (F.col("at") * (1 << 24) + length).alias("place"))
-    return scratch.save(whole.unionByName(parts).groupBy("row").agg(F.collect_list("place").alias("places")))
+    pieces = scratch.save(_asked(texts, ask, scratch).mapInArrow(_pieces(length, STEP), PIECES))
+    found = scratch.save(pieces.groupBy("core", "whole").agg(F.count("*").alias("n"), F.max("alone").alias("alone"),
+                                                            F.min(F.struct("row", "place")).alias("one")))
+    span = (F.shiftright("place", 16) * (1 << 24) + size + (length - 1)).alias("place")
+    twice = pieces.filter("alone").join(found.filter("n > 1 and alone").select("core", "whole"), ["core", "whole"], "left_semi") \
+        .select("row", span)
+    undecided = found.withColumn("alone", F.col("alone") & (F.col("n") == 1))
+    cores = undecided.groupBy("core").agg(F.count("*").alias("wholes"), F.max("alone").alias("open")).filter("wholes > 1 and open").select("core")
+    ask = undecided.join(cores, "core").select("one.row", "one.place", "alone")
+    windows = scratch.save(_asked(texts, ask, scratch).mapInArrow(_pieces(length, 1), PIECES).drop("whole"))
+    again = windows.groupBy("core").agg(F.count("*").alias("n"), F.max("alone").alias("any")).filter("n > 1 and any")
+    parts = windows.filter("alone").join(again.select("core"), "core", "left_semi").select("row", span)
+    return scratch.save(whole.unionByName(twice).unionByName(parts).groupBy("row").agg(F.collect_list("place").alias("places")))
+
+
+def _asked(texts: DataFrame, ask: DataFrame, scratch: Scratch) -> DataFrame:
+    """texts of the rows in ask (row, place, alone), with their places."""
+    by_row = ask.groupBy("row").agg(F.collect_list(F.struct("place", "alone")).alias("l"))
+    return _joined(texts, scratch.save(by_row.select("row", F.col("l.place").alias("places"), F.col("l.alone").alias("alone"))), "inner")
 
 
 def _unpack(places) -> list[tuple[int, int]]:
