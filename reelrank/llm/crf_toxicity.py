@@ -36,11 +36,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 3000, 6000, 50_000
+MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 3000, 50_000
 MIN_Z, MIN_RATE, MIN_DOCS = 5.0, 0.3, 4
 BUCKETS = 1 << 18
 STEPS = 40
-MAX_TOKENS = 500_000     # words of the training windows
+MAX_TOKENS = 300_000     # words of the training windows
 WINDOW = 64
 SPAN_AT = 0.5
 GROUP_WORDS = 400_000    # words scored together
@@ -126,47 +126,40 @@ def marginals(x, first, trans, start) -> np.ndarray:
 
 def token_lexicon(docs: list[list[str]], toxic: np.ndarray, weight: np.ndarray) -> set[str]:
     """Words and prefixes that mark toxic documents."""
-    bad, all_ = Counter(), Counter()
-    for d, t, w in zip(docs, toxic, weight):
-        units = {u for x in set(d) for u in prefixes(x)}
+    bad = Counter()
+    for d, t in zip(docs, toxic):
         if t:
-            bad.update(units)
-        for u in units if t else ():
+            bad.update({u for x in set(d) for u in prefixes(x)})
+    bad = {u: n for u, n in bad.items() if n >= MIN_DOCS}
+    all_ = Counter()
+    for d, w in zip(docs, weight):
+        for u in {u for x in set(d) for u in prefixes(x) if u in bad}:
             all_[u] += w
-    for d, t, w in zip(docs, toxic, weight):
-        if not t:
-            for u in {u for x in set(d) for u in prefixes(x)} & bad.keys():
-                all_[u] += w
     share = float((weight * toxic).sum() / weight.sum())
     scale = float(weight[toxic == 1][0]) if toxic.any() else 1.0
     out = set()
     for u, n in bad.items():
         seen, expect = n * scale, all_[u] * share
-        if n >= MIN_DOCS and seen >= max(MIN_RATE, 2.5 * share) * all_[u] and (seen - expect) >= MIN_Z * np.sqrt(expect * scale):
+        if seen >= max(MIN_RATE, 2.5 * share) * all_[u] and (seen - expect) >= MIN_Z * np.sqrt(expect * scale):
             out.add(u)
     return out
 
 
 def fit_crf(docs: list[list[str]], toxic: np.ndarray, lexicon: set[str]):
     """(feature weights, transition factors, start factors), by Adam on the mean log-likelihood."""
-    known: dict[str, tuple] = {}
-
-    def look(word):
-        if word not in known:
-            known[word] = (features(word), any(u in lexicon for u in prefixes(word)))
-        return known[word]
-
+    marked = {w for w in {x for d, t in zip(docs, toxic) if t for x in d} if any(u in lexicon for u in prefixes(w))}
     spots, others = [], []
     for d, t in zip(docs, toxic):
         for a in range(0, len(d), WINDOW):
-            some = [look(w) for w in d[a:a + WINDOW]]
-            (spots if any(l for _, l in some) else others).append((some, t))
-    room = max(0, MAX_TOKENS - WINDOW * len(spots))
-    every = max(1, len(others) * WINDOW // max(1, room))
-    seqs = (spots + others[::every])[: MAX_TOKENS // 16]
-    size = np.array([len(f) for s, _ in seqs for f, _ in s])
-    feat = np.array([i for s, _ in seqs for f, _ in s for i in f])
-    gold = np.array([bool(l and t) for s, t in seqs for _, l in s], float)
+            some = d[a:a + WINDOW]
+            (others if marked.isdisjoint(some) else spots).append((some, t))
+    room = max(WINDOW, MAX_TOKENS - WINDOW * len(spots))
+    every = max(1, -(-len(others) * WINDOW // room))
+    seqs = spots[: MAX_TOKENS // WINDOW] + others[::every]
+    known = {w: features(w) for w in {w for s, _ in seqs for w in s}}
+    size = np.array([len(known[w]) for s, _ in seqs for w in s])
+    feat = np.array([i for s, _ in seqs for w in s for i in known[w]])
+    gold = np.array([bool(t and w in marked) for s, t in seqs for w in s], float)
     first = np.array([k == 0 for s, _ in seqs for k in range(len(s))])
     owner = np.repeat(np.arange(len(size)), size)
     inner = np.flatnonzero(~first)
