@@ -36,14 +36,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 3000, 50_000
+MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1000, 2000, 50_000
 MIN_Z, MIN_RATE, MIN_DOCS = 5.0, 0.3, 4
 BUCKETS = 1 << 18
 STEPS = 40
 MAX_TOKENS = 300_000     # words of the training windows
 WINDOW = 64
 SPAN_AT = 0.5
-GROUP_WORDS = 400_000    # words scored together
+GROUP_WORDS = 150_000    # words scored together
 CACHE = 300_000
 
 WORD = re.compile(r"[^\W_]+")
@@ -291,12 +291,15 @@ def train(docs: DataFrame, labels: DataFrame, in_training, max_toxic=MAX_TOXIC,
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toPandas()
     rows = rows.sort_values("doc_id")
     toxic = rows["toxic"].to_numpy(int)
-    words = [words_of(t) for t in rows["text"]]
+    pool: dict[str, str] = {}  # one string a distinct word
+    words = [[pool.setdefault(w, w) for w in words_of(t)] for t in rows["text"]]
+    del rows
     weight = np.where(toxic == 1, n_bad / max(1, toxic.sum()), n_good / max(1, (1 - toxic).sum()))
     lexicon = token_lexicon(words, toxic, weight)
     crf = fit_crf(words, toxic, lexicon)
     tagger = Tagger((*crf, None))
-    z = summaries(tagger.marginals(words), np.array([len(d) for d in words]))
+    z = np.concatenate([summaries(tagger.marginals(words[i:i + 100]), np.array([len(d) for d in words[i:i + 100]]))
+                        for i in range(0, len(words), 100)])
     b = fit_logistic(z, toxic.astype(float), weight)
     return Tagger((*crf, b))
 

@@ -20,9 +20,10 @@ Buckets are joined in two rounds.  First every member is compared with its
 bucket's hub only (the class with most copies, then the smallest id), and the
 links found are closed to components.  Only buckets that still hold several
 components go on: rare ones (at most ``RARE`` members) by pairs across
-components that share enough prefix tokens, run buckets by blocks of
-``BLOCK`` classes of a family, which compare prefixes and emit only pairs that
-can still be linked.  Every pair is verified on whole sets.
+components that share enough prefix tokens, run buckets by families (classes
+that such buckets connect) in blocks of ``BLOCK``: a pair of blocks compares
+its whole sets as matrices and emits no more links than join its components.
+Every link is verified on whole sets.
 
 Defined cases: texts that are null or without words have no shingle and are
 linked with nothing; a text of fewer than 4 words has its whole sequence as
@@ -177,37 +178,42 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int, shingle: int, scra
     return scratch.save(mine.join(theirs, "y").filter(linked).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
 
 
-def _close(percent: int):
-    def close(rows: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of a block pair that may be linked: other component, fitting sizes, and enough common prefix tokens."""
-        n = rows["n"].to_numpy(np.int64)
+def _spanning(percent: int):
+    def spanning(rows: pd.DataFrame) -> pd.DataFrame:
+        """Of all links between a block pair's components, as many as join them: fewer than members."""
         left = (rows["side"].to_numpy() & 1) > 0
         right = (rows["side"].to_numpy() & 2) > 0
-        size = rows["prefix"].map(len).to_numpy()
-        tokens = np.concatenate([np.asarray(p, np.int64) for p in rows["prefix"]])
-        who = np.repeat(np.arange(len(n)), size)
-        vocab, at, seen = np.unique(tokens, return_inverse=True, return_counts=True)
-        keep = seen[at] > 1
-        column = np.cumsum(seen > 1) - 1
-        width = int((seen > 1).sum())
+        n = rows["tokens"].map(len).to_numpy(np.int64)
+        tokens = np.concatenate([np.asarray(t, np.int64) for t in rows["tokens"]])
+        who = np.repeat(np.arange(len(n)), n)
+        _, at, seen = np.unique(tokens, return_inverse=True, return_counts=True)
+        shared = seen[at] > 1
+        who, column = who[shared], (np.cumsum(seen > 1) - 1)[at[shared]]
+        by = np.argsort(column, kind="stable")
+        who, column = who[by], column[by]
         a, b = np.flatnonzero(left), np.flatnonzero(right)
         common = np.zeros((len(a), len(b)), np.float32)
+        width = int(column[-1]) + 1 if len(column) else 0
         for lo in range(0, width, 4096):  # shared tokens in slices, so that the matrices stay small
-            cols = column[at]
-            sel = keep & (cols >= lo) & (cols < lo + 4096)
+            some = slice(*np.searchsorted(column, (lo, lo + 4096)))
             m = np.zeros((len(n), min(4096, width - lo)), np.float32)
-            m[who[sel], cols[sel] - lo] = 1
+            m[who[some], column[some] - lo] = 1
             common += m[a] @ m[b].T
-        na, nb = n[a][:, None], n[b][None, :]
-        rest = np.maximum(na - prefix_length(na, percent), nb - prefix_length(nb, percent))
-        comp = rows["component"].to_numpy(np.int64)
-        cid = rows["cid"].to_numpy(np.int64)
-        ok = (comp[a][:, None] != comp[b][None, :]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) \
-            & (common + rest >= needed(na, nb, percent))
-        i, j = np.nonzero(ok)
-        x, y = np.minimum(cid[a[i]], cid[b[j]]), np.maximum(cid[a[i]], cid[b[j]])
-        return pd.DataFrame({"x": x, "y": y}).drop_duplicates()
-    return close
+        comp, cid = rows["component"].to_numpy(np.int64), rows["cid"].to_numpy(np.int64)
+        ok = (comp[a][:, None] != comp[b][None, :]) & ((100 + percent) * common.astype(np.float64) >= percent * (n[a][:, None] + n[b][None, :]))
+        root = {c: c for c in set(comp.tolist())}
+        out = []
+        for i, j in zip(*np.nonzero(ok)):
+            x, y = comp[a[i]], comp[b[j]]
+            while root[x] != x:
+                x = root[x] = root[root[x]]
+            while root[y] != y:
+                y = root[y] = root[root[y]]
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((cid[a[i]], cid[b[j]]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    return spanning
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
@@ -278,12 +284,15 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = S
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     member = member.withColumn("other", other).withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
     side = F.when(F.col("bi") == F.col("bj"), 3).when(F.col("block") == F.col("bi"), 1).otherwise(2)
-    member = member.select("family", "bi", "bj", side.alias("side"), "cid").join(known, "cid", "left").join(
-        reps.select("cid", "n", "prefix"), "cid").withColumn("component", F.coalesce("component", "cid"))
-    by_run = member.groupBy("family", "bi", "bj").applyInPandas(_close(percent), "x long, y long")
-
-    more = scratch.save(by_single.unionByName(by_run).distinct())
-    links = links.unionByName(verified(docs, more, percent, shingle, scratch))
+    member = member.select("family", "bi", "bj", side.alias("side"), "cid").join(known, "cid", "left") \
+        .withColumn("component", F.coalesce("component", "cid"))
+    sets = _of_ids(docs, family.select(F.col("node").alias("doc_id")), family.count()).select(
+        "doc_id", F.array().cast("array<long>").alias("ys"), "text").mapInArrow(
+        _with_sets(shingle), "doc_id long, ys array<long>, tokens array<long>").select(F.col("doc_id").alias("cid"), "tokens")
+    by_run = scratch.save(member.join(sets, "cid").groupBy("family", "bi", "bj").applyInPandas(_spanning(percent), "a long, b long"))
+
+    more = scratch.save(by_single)
+    links = links.unionByName(verified(docs, more, percent, shingle, scratch)).unionByName(by_run)
     comp = scratch.save(components(links, scratch)).select(F.col("node").alias("cid"), "component")
     scratch.drop(open_)
 
