@@ -26,6 +26,7 @@ ALS_RANK = 20
 ALS_MAX_ITER = 15
 ALS_REG_PARAM = 0.1
 RECS_PER_USER = 20
+ALS_BLOCKS = 16  # not a value of the app: blocks change the factors, so they must not follow the cluster
 GATE_CANDIDATES = 100
 GATE_MIN_VOTES = 100
 GATE_TOP_K = 5
@@ -35,10 +36,12 @@ PRECOMPUTE_TOP_K = 10
 def fit_als(ratings: DataFrame, rank: int = ALS_RANK, max_iter: int = ALS_MAX_ITER,
             reg_param: float = ALS_REG_PARAM, nonnegative: bool = True,
             cold_start: str = "drop", seed: int = 42, checkpoint_interval: int = 10,
-            num_blocks: int | None = None):
+            num_blocks: int = ALS_BLOCKS):
     """Explicit-feedback ALS on userId, movieId, rating (ids must fit in
     32-bit ints; map larger ids with ``operators.indexing`` first).
-    ``num_blocks`` defaults to the cluster's default parallelism."""
+    ``num_blocks`` is the number of user and of item blocks: the fitted
+    factors depend on it, so it is fixed whatever the cluster; raise it for
+    larger data (one task a block and stage)."""
     from pyspark.ml.recommendation import ALS
 
     spark = ratings.sparkSession
@@ -49,10 +52,7 @@ def fit_als(ratings: DataFrame, rank: int = ALS_RANK, max_iter: int = ALS_MAX_IT
               userCol="userId", itemCol="movieId", ratingCol="rating",
               coldStartStrategy=cold_start, nonnegative=nonnegative, seed=seed,
               checkpointInterval=checkpoint_interval)
-    # Spark ML defaults to 10 user and 10 item blocks whatever the cluster
-    # size, i.e. 10 tasks per ALS stage.  One block per core of the cluster
-    # keeps every core busy (and was also the fastest setting locally).
-    als = als.setNumBlocks(num_blocks or max(1, spark.sparkContext.defaultParallelism))
+    als = als.setNumBlocks(num_blocks)
     data = ratings.select("userId", "movieId", "rating").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return als.fit(data)
@@ -105,9 +105,11 @@ def recommend_for_users(model, users: DataFrame | None, movies: DataFrame, ratin
         cands = exclude_seen(cands, ratings)
     popular = movies_with_min_votes(movies, ratings, min_votes)
     per_user = Window.partitionBy("userId").orderBy("pos")
-    return (cands.join(popular, "movieId")
+    # Gate and cut first: titles only join what is left.
+    return (cands.join(popular.select("movieId"), "movieId", "left_semi")
             .withColumn("rank", F.row_number().over(per_user))
             .filter(F.col("rank") <= top_k)
+            .join(popular, "movieId")
             .select("userId", "rank", "movieId", F.col("title").alias("movie"), "genres",
                     F.bround(F.col("rating").cast("double"), 2).alias("score"),
                     F.col("count").alias("votes")))

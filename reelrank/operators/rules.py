@@ -92,10 +92,11 @@ def recommend_from_rules(rules: DataFrame, items: DataFrame, top_k: int = 10,
         F.explode(F.array_distinct("antecedent")).alias("item"),
         "antecedent", "consequent", "confidence", "lift")
     wanted = items.select(F.col(item_col).alias("item"))
-    matched = cand.join(wanted, "item", "left_semi")
     per_item = Window.partitionBy("item").orderBy(*_rule_order())
-    top = (matched.withColumn("rule_rank", F.row_number().over(per_item))
-           .filter(F.col("rule_rank") <= top_k))
+    # Cut before the join: a task sends at most top_k rules of an item on.
+    top = (cand.withColumn("rule_rank", F.row_number().over(per_item))
+           .filter(F.col("rule_rank") <= top_k)
+           .join(wanted, "item", "left_semi"))
     recs = (top.select("item", "rule_rank", "lift",
                        F.posexplode("consequent").alias("pos", "movie"))
             .filter(F.col("movie") != F.col("item")))

@@ -76,7 +76,9 @@ def cut_lineage(df):
     """Cut lineage through reliable checkpoint storage when it is configured.
 
     Never uses local checkpoints: those die with their executor.  Without a
-    configured folder the frame is persisted to memory and disk instead.
+    configured folder the frame is persisted to memory and disk in local mode;
+    on a cluster, where both passes of a caller must see the same rows after a
+    lost executor, that raises.
     """
     from pyspark import StorageLevel
 
@@ -84,6 +86,8 @@ def cut_lineage(df):
         if not df.sparkSession.sparkContext.getCheckpointDir():
             df.sparkSession.sparkContext.setCheckpointDir(checkpoint_dir(df.sparkSession))
         return df.checkpoint(eager=True)
+    if not _is_local(df.sparkSession):
+        raise RuntimeError("spark.checkpoint.dir is not set; configure a shared folder")
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
