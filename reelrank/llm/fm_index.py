@@ -15,7 +15,7 @@ at most ``SLICE_BYTES`` of item text; each slice searches all documents, and
 slices' spans merge per document, so a benchmark of any size works.
 
 Defined cases: null text has no words; a null item or one without words never
-occurs; a null item_id counts as an item but is not listed; items repeating
+occurs; a null item_id is listed as None; items repeating
 an item_id are one item; an empty benchmark hits nothing.
 """
 
