@@ -146,7 +146,9 @@ def _slices(df: DataFrame, column: str, size: int):
     n = -(-df.select(column).distinct().count() // size)
     for k in range(n):
         part = df if n == 1 else df.filter(F.pmod(F.xxhash64(column), F.lit(n)) == k)
-        yield np.sort(part.select(column).distinct().toPandas()[column].to_numpy(np.int64))
+        hashes = np.sort(part.select(column).distinct().toPandas()[column].to_numpy(np.int64))
+        if len(hashes):
+            yield hashes
 
 
 class _Known:
