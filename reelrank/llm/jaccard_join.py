@@ -8,7 +8,9 @@ and only classes are joined.  With similarity s and a set of n tokens,
   them;
 * with at most d = (1 - s) n / s tokens in one set only, the first k (d + 1)
   tokens of the union hold k neighbours that both sets have: in the *extended
-  prefix* of k (d + 1) tokens, linked sets share a run of k neighbours.
+  prefix* of k (d + 1) tokens, linked sets share a run of k neighbours.  From
+  80 percent on, the union is long enough for that but in one case: sets of 4
+  and 5 tokens.  Sets of up to 5 tokens are indexed by runs of k - 1 besides.
 
 Prefix tokens held by up to ``RARE`` classes are indexed singly.  Classes with
 a more frequent token in their prefix are indexed by all runs of ``K`` tokens
@@ -48,6 +50,7 @@ from reelrank.llm.store import Scratch
 SHINGLE = 4
 PERCENT = 85
 K = 3
+SHORT = 5
 RARE = 48
 BLOCK = 512
 BROADCAST_IDS = 500_000  # id tables of up to so many rows are broadcast to the documents, larger ones joined by shuffle
@@ -126,6 +129,14 @@ def _signed(percent: int, shingle: int):
     return run
 
 
+def _run_keys(tokens: np.ndarray, width: int) -> np.ndarray:
+    key = np.full(max(0, len(tokens) - width + 1), width, np.uint64)
+    for i in range(width):
+        key = (key + tokens[i:i + len(key)]) * np.uint64(0x9FB21C651E98DF25)
+        key ^= key >> np.uint64(28)
+    return key.view(np.int64)
+
+
 def _runs(percent: int, shingle: int):
     def run(batches):
         s = Shingler(shingle)
@@ -134,11 +145,7 @@ def _runs(percent: int, shingle: int):
             keys = []
             for a in sets:
                 a = a[:run_length(len(a), K, percent)].view(np.uint64)
-                key = np.zeros(max(0, len(a) - K + 1), np.uint64)
-                for i in range(K):
-                    key = (key + a[i:i + len(key)]) * np.uint64(0x9FB21C651E98DF25)
-                    key ^= key >> np.uint64(28)
-                keys.append(key.view(np.int64))
+                keys.append(np.concatenate([_run_keys(a, w) for w in ((K, K - 1) if len(a) <= SHORT else (K,))]))
             size = [len(k) for k in keys]
             rep = lambda v: pa.array(np.repeat(np.array(v, np.int64), size), pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -217,7 +224,10 @@ def _spanning(percent: int):
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """Every row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    """Every row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
+    The prefixes need 80 percent or more."""
+    if percent < 80:
+        raise ValueError("a similarity of 0.8 or more is needed")
     scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = scratch.save(docs.mapInArrow(_signed(percent, shingle), "doc_id long, n long, sig binary, prefix array<long>"))

@@ -100,6 +100,28 @@ def test_components_match_brute_force(make, monkeypatch, rare, percent, shingle)
     assert got == components_by_force(rows, percent, shingle)
 
 
+@pytest.mark.parametrize("percent", [80, 85, 95])
+def test_linked_sets_share_a_run(percent):
+    """Any two linked sets, whatever tokens they do not share, have a key of the run index in common."""
+    rng = random.Random(percent)
+
+    def keys(tokens):
+        a = np.array(sorted(tokens), np.int64)[:jaccard_join.run_length(len(tokens), jaccard_join.K, percent)].view(np.uint64)
+        widths = (jaccard_join.K, jaccard_join.K - 1) if len(a) <= jaccard_join.SHORT else (jaccard_join.K,)
+        return {k for w in widths for k in jaccard_join._run_keys(a, w).tolist()}
+
+    for n in range(4, 60):
+        for own in range(1, n):
+            if 100 * (n - own) < percent * n:
+                break
+            for _ in range(60):
+                gone = rng.sample(range(n), own)
+                cut = rng.randrange(own + 1)
+                x, y = set(range(n)) - set(gone[:cut]), set(range(n)) - set(gone[cut:])
+                assert keys(x) & keys(y), (n, gone, cut)
+
+
+
 def test_keep_one_keeps_columns_and_clean_rows(make, empty):
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (4, ""), (5, "z"), (None, "q r s")]
     kept = jaccard_join.keep_one(make(rows), 80, 5)
