@@ -67,16 +67,18 @@ def _seeded():
 
 def _cuts(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """plan with ``cut``: documents of the source with hash <= cut are taken once more."""
+    # one row a source: rows join it in place and only sums of slices are shuffled
+    few = F.broadcast if plan.count() <= BROADCAST_SOURCES else lambda df: df
     goals = plan.select("sid", "goal").withColumn("base", F.lit(0).cast("long")).withColumn("prefix", F.lit(""))
     for _ in range(2):
-        inside = rows.join(goals, "sid").filter(F.col("goal") > 0).filter(F.expr("u like prefix || '%'"))
+        inside = rows.join(few(goals), "sid").filter(F.col("goal") > 0).filter(F.expr("u like prefix || '%'"))
         sums = inside.groupBy("sid", "goal", "base", "prefix", F.expr(f"substr(u, 1, length(prefix) + {HEX})").alias("next")) \
             .agg(F.sum("size").alias("w"))
         upto = F.col("base") + F.sum("w").over(Window.partitionBy("sid").orderBy("next"))
         sums = sums.withColumn("upto", upto).filter(F.col("upto") >= F.col("goal"))
         goals = sums.groupBy("sid").agg(F.min(F.struct("next", "goal", F.expr("upto - w").alias("base"))).alias("c")).select(
             "sid", F.col("c.goal").alias("goal"), F.col("c.base").alias("base"), F.col("c.next").alias("prefix"))
-    inside = rows.join(goals, "sid").filter(F.expr("u like prefix || '%'"))
+    inside = rows.join(few(goals), "sid").filter(F.expr("u like prefix || '%'"))
     last = inside.groupBy("sid", "goal", "base", "prefix", "u").agg(F.sum("size").alias("w"))
     last = last.withColumn("upto", F.col("base") + F.sum("w").over(Window.partitionBy("sid").orderBy("u")))
     best = last.groupBy("sid").agg(
