@@ -13,9 +13,9 @@ in little-endian uint16 (uint32 for vocabularies over 65,536) and keeps
 
 A shard is one range partition of doc_id; its start is the running total of
 the shards before it (one row a shard).  Texts are encoded by the tokenizers
-library.  Its pre-tokenizer never joins text across white space, so a task
-encodes each distinct chunk between ASCII white space once and keeps up to
-``CACHE`` of them.
+library.  Its pre-tokenizer never joins text across white space, so a worker
+encodes chunks between ASCII white space (A-Z lowered if the tokenizer does so)
+and keeps those it has met lately.
 
 Defined cases: null text is empty and holds the end id alone; null doc_ids
 come first; rows repeating a doc_id stand next to each other; an empty table
@@ -24,6 +24,8 @@ gives an empty file.
 
 from __future__ import annotations
 
+import functools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -37,7 +39,9 @@ from reelrank.llm.store import ASCII_SPACE, text_or_empty
 
 STEP = 64              # ones between two select samples
 BLOCK_IDS = 1 << 20    # a block ends at the first document that fills it
-CACHE = 400_000
+CACHE = 300_000        # chunks kept in each of two generations
+TEXTS = 128            # texts looked up together
+CLOSING = frozenset(".,;:!?")
 END_ID = 2
 
 BLOCKS = ("shard int, block int, before long, n_docs int, n_ids long, wide boolean, n_null int, first_id long, "
@@ -99,40 +103,70 @@ def ef_select(data: bytes, i: int) -> int:
 
 # ---------------------------------------------------------------- encoding
 
+_SPACED = bytes(32 if chr(b) in ASCII_SPACE else b for b in range(256))
+_LOWERED = bytes(b + 32 if 65 <= b <= 90 else b for b in _SPACED)
+
+
 class Encoder:
-    """Ids of texts, chunk by chunk, with a bounded cache of chunks already encoded."""
+    """Ids of texts, chunk by chunk.  Chunks already encoded are kept in two generations of ``CACHE``
+    each: when the young one is full it becomes the old one, and chunks met again move back."""
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
-        self.known: dict[str, bytes] = {"": b""}
-
-    def __call__(self, text: str) -> bytes:
-        for c in ASCII_SPACE[1:]:
-            text = text.replace(c, " ")
-        chunks = text.split(" ")
-        new = set(chunks).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > CACHE:
-                self.known = {"": b""}
-                new = set(chunks)
-            new = list(new)
-            for chunk, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self.known[chunk] = np.array(e.ids, self.kind).tobytes()
-        return b"".join(map(self.known.__getitem__, chunks))
+        self.folds = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Puts the chunks into the young generation."""
+        back = [c for c in chunks if c in self.old]
+        self.young.update(zip(back, map(self.old.__getitem__, back)))
+        chunks.difference_update(back)
+        # a letter before one closing mark: the pre-tokenizer parts them, so the stem's ids do
+        closed = [c for c in chunks if len(c) > 1 and c[-1] in CLOSING and "a" <= c[-2] <= "z"]
+        chunks.difference_update(closed)
+        stems = {part for c in closed for part in (c[:-1], c[-1])}
+        new = list(chunks.union(s for s in stems if s not in self.young))
+        for chunk, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
+            self.young[chunk] = np.array(e.ids, self.kind).tobytes()
+        for c in closed:
+            self.young[c] = self.young[c[:-1]] + self.young[c[-1]]
+
+    def _chunks(self, text: str) -> list[str]:
+        raw = text.encode("utf-8", "surrogatepass")
+        plain = raw.translate(_LOWERED)
+        if not self.folds or any(s in plain for s in self.special):  # special tokens are found by their case
+            plain = raw.translate(_SPACED)
+        return plain.decode("utf-8", "surrogatepass").split(" ")
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        split = [self._chunks(t) for t in texts]
+        new = set().union(*split).difference(self.young)
+        if len(self.young) + len(new) > CACHE:
+            self.young, self.old = {"": b""}, self.young
+            new = set().union(*split).difference(self.young)
+        self._learn(new)
+        for chunks in split:
+            yield b"".join(map(self.young.__getitem__, chunks))
+
+
+@functools.lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One tokenizer and cache a Python worker; its later tasks go on with them."""
+    return Encoder(path)
 
 
 def _blocks(path: str, end_id: int, block_ids: int):
     names = [c.split()[0] for c in BLOCKS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = encoder(path)
         end = np.array([end_id], encode.kind).tobytes()
         shard, block, before = TaskContext.get().partitionId(), 0, 0
         ids, payload, size, limit = [], [], 0, block_ids * encode.kind.itemsize
@@ -150,14 +184,15 @@ def _blocks(path: str, end_id: int, block_ids: int):
 
         kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
         schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in BLOCKS.split(", ")])
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = encode(text) + end
-                ids.append(doc_id)
-                payload.append(data)
-                size += len(data)
-                if size >= limit:
-                    yield close()
+        for whole in batches:
+            for batch in (whole.slice(i, TEXTS) for i in range(0, whole.num_rows, TEXTS)):
+                for doc_id, data in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+                    data += end
+                    ids.append(doc_id)
+                    payload.append(data)
+                    size += len(data)
+                    if size >= limit:
+                        yield close()
         if ids:
             yield close()
     return run

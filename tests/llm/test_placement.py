@@ -89,7 +89,7 @@ def test_elias_fano_is_near_minimal():
 
 
 def test_token_files_round_trip(spark, make, empty, tmp_path):
-    odd = ["", None, "Don't STOP <|endoftext|> x", "a\x1cb\x0b c　d́ é", "héllo\nwörld\t!!", "x" * 5000, "the " * 20_000, "1234 ½ 🙂🙂"]
+    odd = ["", None, "Don't STOP <|endoftext|> x", "a\x1cb\x0b c　d́ é", "héllo\nwörld\t!!", "x" * 5000, "the " * 20_000, "1234 ½ 🙂🙂", "Ab, ab, w!!! ab?! !, <|ENDOFTEXT|> İx ΑΣ."]
     rows = list(enumerate(odd * 5)) + [(3, "again"), (3, "again"), (-7, "minus"), (None, "null id")]
     path = str(tmp_path / "t")
     token_files.write_token_files(make(rows), path, TOKENIZER, block_ids=500)
