@@ -80,6 +80,39 @@ def movie_details(catalog: DataFrame, links: DataFrame) -> DataFrame:
             .select("movieId", "tmdbId", *DETAIL_FIELDS, F.col("movieId").alias("id")))
 
 
+def detailed_feed(feed: DataFrame, details: DataFrame, popular: DataFrame, key: str) -> DataFrame:
+    """key, source, position, then the listed film's full record: the lists
+    flattened as by ``resolve_feed``, films without a detail record dropped.
+    ``popular`` is the table that ``feed`` was made with.
+
+    Entities without a list of their own all show the popular list, so its
+    films are looked up once (at most the popularity table's top-n rows, which
+    are broadcast) and only own lists are shuffled to the records."""
+    flat = feed.select(F.col(key).alias("_key"), "source", F.posexplode("items").alias("_pos", "movieId"))
+    is_popular = F.col("source") == SOURCE_POPULAR
+    top = details.join(F.broadcast(popular.select("movieId").distinct()), "movieId", "left_semi")
+    own = flat.filter(~is_popular).join(details, "movieId")
+    fallback = flat.filter(is_popular).join(F.broadcast(top), "movieId")
+    return own.unionByName(fallback).select(
+        F.col("_key").alias(key), "source", (F.col("_pos") + 1).alias("position"), "tmdbId", *DETAIL_FIELDS, "id")
+
+
+def popular_details(popular: DataFrame, details: DataFrame) -> DataFrame:
+    """rank and the full record of every popular film that has one (a top-n: it is broadcast)."""
+    return details.join(F.broadcast(popular.select("rank", "movieId")), "movieId").select(
+        "rank", "tmdbId", *DETAIL_FIELDS, "id")
+
+
+def movie_page_records(movies: DataFrame, details: DataFrame, related: DataFrame, popular: DataFrame) -> DataFrame:
+    """The full film page as rows: movieId, source, position and a full record.
+    Position 0 is the film itself, the others its related (or the popular)
+    films by list position.  Films without a record have no page."""
+    pages = movies.select("movieId").join(details, "movieId")
+    feed = movie_feed(pages.select("movieId"), related, popular)
+    own = pages.select("movieId", F.lit("page").alias("source"), F.lit(0).alias("position"), "tmdbId", *DETAIL_FIELDS, "id")
+    return own.unionByName(detailed_feed(feed, details, popular, "movieId"))
+
+
 def movie_pages(movies: DataFrame, links: DataFrame, related: DataFrame,
                 popular: DataFrame, catalog: DataFrame) -> DataFrame:
     """One page per film that has an external id and a detail document:

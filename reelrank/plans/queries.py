@@ -431,6 +431,35 @@ def q_movie_pages(spark, sf):
     return present(pages, ordered_arrays=("related",))
 
 
+def _details(spark, sf):
+    return feeds.movie_details(tv.catalog(spark, sf), tv.links(spark, sf))
+
+
+@query("popular_details")
+def q_popular_details(spark, sf):
+    return present(feeds.popular_details(_popular(spark, sf), _details(spark, sf)), ordered_arrays=("genres",))
+
+
+@query("user_feed_details")
+def q_user_feed_details(spark, sf):
+    users, top = _ratings(spark, sf).select("userId").distinct(), _popular(spark, sf, 20, 3)
+    feed = feeds.user_feed(users, _tier1_lists(spark, sf), _tier2_lists(spark, sf), top)
+    return present(feeds.detailed_feed(feed, _details(spark, sf), top, "userId"), ordered_arrays=("genres",))
+
+
+@query("movie_feed_details")
+def q_movie_feed_details(spark, sf):
+    top = _popular(spark, sf, 20, 5)
+    feed = feeds.movie_feed(tv.movies(spark, sf), _related(spark, sf), top)
+    return present(feeds.detailed_feed(feed, _details(spark, sf), top, "movieId"), ordered_arrays=("genres",))
+
+
+@query("movie_page_records")
+def q_movie_page_records(spark, sf):
+    rows = feeds.movie_page_records(tv.movies(spark, sf), _details(spark, sf), _related(spark, sf), _popular(spark, sf, 10, 5))
+    return present(rows, ordered_arrays=("genres",))
+
+
 # Queries whose result depends on a trained ALS model: no SQL form.
 NO_ORACLE = {"als_recommend_all", "als_recommendations_flat", "als_popular_gated",
              "precomputed_user_recs"}

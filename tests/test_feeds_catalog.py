@@ -2,6 +2,8 @@ import json
 
 from conftest import rows
 
+from pyspark.sql import functions as F
+
 from reelrank.functions.catalog import pick_trailer, project_movie_detail
 from reelrank.operators import feeds as FE
 
@@ -79,3 +81,30 @@ def test_pick_trailer_falls_back_to_first_youtube(spark):
         [([("Vimeo", "Trailer", "v"), ("YouTube", "Featurette", "f"), ("YouTube", "Teaser", "g")],)],
         "v array<struct<site:string,type:string,key:string>>")
     assert df.select(pick_trailer("v")).first()[0] == "f"
+
+
+def _records(spark, ids):
+    from reelrank.functions.catalog import DETAIL_FIELDS
+
+    base = spark.createDataFrame([(i, i * 10) for i in ids], "movieId long, tmdbId long")
+    nothing = [F.lit(None).cast("string").alias(c) for c in DETAIL_FIELDS if c != "title"]
+    return base.select("movieId", "tmdbId", F.concat(F.lit("film "), "movieId").alias("title"), *nothing,
+                       F.col("movieId").alias("id"))
+
+
+def test_detailed_feed_drops_films_without_record(spark):
+    feed = spark.createDataFrame([(1, "als", [100, 7, 8]), (2, "popular", [100, 200]), (3, "popular", [100, 200]), (4, "als", [])],
+                                 "userId long, source string, items array<long>")
+    got = FE.detailed_feed(feed, _records(spark, [100, 8]), _popular(spark), "userId")
+    assert rows(got.select("userId", "source", "position", "tmdbId", "title")) == [
+        (1, "als", 1, 1000, "film 100"), (1, "als", 3, 80, "film 8"),
+        (2, "popular", 1, 1000, "film 100"), (3, "popular", 1, 1000, "film 100")]
+    assert rows(FE.popular_details(_popular(spark), _records(spark, [200, 8])).select("rank", "id")) == [(2, 200)]
+
+
+def test_movie_page_records(spark):
+    movies = spark.createDataFrame([(1,), (2,), (3,)], "movieId long")
+    related = spark.createDataFrame([(1, [3, 2])], "movieId long, items array<long>")
+    got = FE.movie_page_records(movies, _records(spark, [1, 2, 100]), related, _popular(spark))
+    assert rows(got.select("movieId", "source", "position", "id")) == [
+        (1, "page", 0, 1), (1, "rules", 2, 2), (2, "page", 0, 2), (2, "popular", 1, 100)]
