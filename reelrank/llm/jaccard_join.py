@@ -286,7 +286,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = S
 
     runs_left = open_.filter("kind = 2")
     first = runs_left.groupBy("key").agg(F.min("cid").alias("b"))
-    family = components(runs_left.join(first, "key").select(F.col("cid").alias("a"), "b").filter("a != b").distinct(), scratch)
+    # each class goes by the smallest class it meets; buckets then connect these few names, not all members
+    near = scratch.save(runs_left.join(first, "key").groupBy("cid").agg(F.min("b").alias("m")))
+    named = scratch.save(runs_left.join(near, "cid").select("key", "m").distinct())
+    tops = named.groupBy("key").agg(F.min("m").alias("b"))
+    joined = named.join(tops, "key").select(F.col("m").alias("a"), "b").unionByName(near.select(F.col("cid").alias("a"), F.col("m").alias("b")))
+    family = components(joined.filter("a != b").distinct(), scratch)
     family = scratch.save(family)
     sizes = family.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     member = family.join(sizes, "component").select(F.col("node").alias("cid"), F.col("component").alias("family"), "blocks") \
