@@ -7,14 +7,16 @@ with the entity: normalised pointwise mutual information over the corpus,
 
     npmi(t, e) = log(N n(t, e) / (n(t) n(e))) / log(N / n(t, e)),
 
-with n counting documents.  Terms within ``RADIUS`` words of an entity in at
-least ``MIN_CONTEXTS`` different contexts (so that copies of one passage count
-once) are candidates; from ``GENERALISE`` on all their occurrences are
-generalised, from ``REMOVE`` on removed.
+with n counting documents: n(t, e) those that hold both, wherever the term
+stands.  Pairs in at least ``MIN_TEXTS`` different texts (so that copies of one
+text count once) are candidates; from ``GENERALISE`` on all occurrences of the
+term are generalised, from ``REMOVE`` on removed.
 
 Candidates and flagged terms travel to the tasks in slices of at most
 ``SLICE`` hashes, one pass over the documents a slice; a corpus with more only
-needs more passes.  Documents are counted, never paired or shuffled.
+needs more passes.  Of documents only hashes are shuffled: their entities, and
+the distinct terms of those with an entity in ``MIN_TEXTS`` texts; the pairs of
+one document are its entities times its terms.
 
 Defined cases: null text is empty; a pattern's match that fails its check is
 dropped without a retry; an entity or term in one document only reveals
@@ -34,9 +36,8 @@ from pyspark.sql import functions as F
 
 from reelrank.llm.store import Scratch
 
-RADIUS = 6
 MIN_LETTERS = 3
-MIN_CONTEXTS = 3
+MIN_TEXTS = 3
 GENERALISE, REMOVE = 0.8, 0.95
 SLICE = 2_000_000
 
@@ -102,43 +103,26 @@ def _hash(s: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> set[tuple[int, int, int]]:
-    """(entity, term, context) hashes: terms within RADIUS words of an entity, outside all entities."""
-    covered = sorted((a, b) for _, a, b in spans)
-    starts = np.array([a for a, _ in covered])
-    ends = np.maximum.accumulate(np.array([b for _, b in covered]))
-    terms = []
-    for m in _TERM.finditer(text):
-        k = int(np.searchsorted(starts, m.end())) - 1
-        if k < 0 or ends[k] <= m.start():
-            terms.append((m.start(), m[0].lower()))
-    places = [s for s, _ in terms]
-    out = set()
-    for kind, a, b in spans:
+def _entities(text: str) -> list[int]:
+    """Hashes of the different entities of a text."""
+    found = set()
+    for kind, a, b in base_spans(text):
         value = text[a:b].lower()
-        entity = _hash(f"{kind}:{value if kind in ('email', 'ip') else _digits(value)}")
-        k = int(np.searchsorted(places, a)) if places else 0
-        near = [w for _, w in terms[max(0, k - RADIUS):k + RADIUS]]
-        where = _hash(" ".join(near))
-        out.update((entity, _hash(w), where) for w in near)
-    return out
+        found.add(_hash(f"{kind}:{value if kind in ('email', 'ip') else _digits(value)}"))
+    return list(found)
 
 
-def _context_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _mentions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = []
-        for text in batch["text"]:
-            spans = base_spans(text)
-            if spans:
-                found = contexts(text, spans)
-                rows.extend(found)
-        yield pd.DataFrame(rows, columns=["entity", "term", "context"], dtype="int64")
+        rows = [(e, h) for text in batch["text"] if (found := _entities(text)) for h in [_hash(text)] for e in found]
+        yield pd.DataFrame(rows, columns=["entity", "text"], dtype="int64")
 
 
-def _entity_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [(e, t) for text in batch["text"] if (s := base_spans(text)) for e, t in {(e, t) for e, t, _ in contexts(text, s)}]
-        yield pd.DataFrame(rows, columns=["entity", "term"], dtype="int64")
+        rows = [(found, _hash(text), [_hash(w) for w in set(_TERM.findall(text.lower()))])
+                for text in batch["text"] if (found := _entities(text))]
+        yield pd.DataFrame(rows, columns=["entities", "text", "terms"])
 
 
 def _slices(df: DataFrame, column: str, size: int):
@@ -183,11 +167,18 @@ def disclosing_terms(docs: DataFrame, scratch: Scratch, slice_size: int = SLICE)
     """(term hash, npmi): terms at GENERALISE or more for some entity, with their largest npmi."""
     text = docs.select(F.col("text").cast("string").alias("text"))
     n_docs = text.count()
-    # documents and different contexts of every pair, in one pass
-    ctx = text.mapInPandas(_context_rows, "entity long, term long, context long")
-    pairs = ctx.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(
-        F.sum("n").alias("n_mentions"), F.count("*").alias("contexts")).filter(F.col("contexts") >= MIN_CONTEXTS)
-    pairs = scratch.save(pairs.select("entity", "term"))
+    mentions = text.mapInPandas(_mentions, "entity long, text long").groupBy("entity", "text").agg(F.count("*").alias("n"))
+    entities = scratch.save(mentions.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts")).filter(
+        F.col("texts") >= MIN_TEXTS).select("entity", "n_e"))
+    if entities.isEmpty():
+        return docs.sparkSession.createDataFrame([], "term long, npmi double")
+    # every entity's different texts once, with the number of documents they stand for
+    held = text.mapInPandas(_documents, "entities array<long>, text long, terms array<long>")
+    held = held.select(F.explode("entities").alias("entity"), "text", "terms").join(entities, "entity", "left_semi")
+    held = held.groupBy("entity", "text").agg(F.first("terms").alias("terms"), F.count("*").alias("n"))
+    pairs = held.select("entity", F.explode("terms").alias("term"), "n").groupBy("entity", "term").agg(
+        F.sum("n").alias("n_te"), F.count("*").alias("texts")).filter(F.col("texts") >= MIN_TEXTS)
+    pairs = scratch.save(pairs.select("entity", "term", "n_te"))
     counts = None
     for hashes in _slices(pairs, "term", slice_size):
         bc = docs.sparkSession.sparkContext.broadcast(hashes)
@@ -195,10 +186,7 @@ def disclosing_terms(docs: DataFrame, scratch: Scratch, slice_size: int = SLICE)
         counts = part if counts is None else counts.unionByName(part)
     if counts is None:
         return docs.sparkSession.createDataFrame([], "term long, npmi double")
-    both = text.mapInPandas(_entity_rows, "entity long, term long").join(pairs, ["entity", "term"], "left_semi") \
-        .groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-    entities = text.mapInPandas(_mentions, "entity long").groupBy("entity").agg(F.count("*").alias("n_e"))
-    rows = both.join(counts, "term").join(entities, "entity")
+    rows = pairs.join(counts, "term").join(entities, "entity")
     pmi = F.log(F.lit(float(n_docs)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     most = F.log(F.lit(float(n_docs)) / F.col("n_te"))
     npmi = F.when(most > 0, pmi / most).otherwise(0.0)
@@ -206,18 +194,6 @@ def disclosing_terms(docs: DataFrame, scratch: Scratch, slice_size: int = SLICE)
         F.max("npmi").alias("npmi")))
 
 
-def _mentions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for text in batch["text"]:
-            found = set()
-            for kind, a, b in base_spans(text):
-                value = text[a:b].lower()
-                found.add(_hash(f"{kind}:{value if kind in ('email', 'ip') else _digits(value)}"))
-            rows.extend(found)
-        yield pd.DataFrame({"entity": np.array(rows, np.int64)})
-
-
 SPANS = "doc_id long, text string, spans array<struct<kind:string,start:long,end:long,action:string>>"
 
 
@@ -246,6 +222,7 @@ def _find_terms(bc):
                         if h and not any(a < m.end() and m.start() < b for k, a, b, _ in have if k in KINDS):
                             act = "remove" if remove[np.searchsorted(hashes, h)] else "generalise"
                             have.append(("term", *m.span(), act))
+                    have.sort(key=lambda s: (len(KINDS), s[1]) if s[0] == "term" else (KINDS.index(s[0]), s[1]))
                 spans.append(have)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text": batch["text"], "spans": spans})
     return run

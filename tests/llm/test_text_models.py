@@ -126,6 +126,21 @@ def test_terms_that_reveal_an_entity_are_found(make, slice_size):
     assert "orvath" not in clean[0] and "<EMAIL>" in clean[0] and clean[901] is None and clean[902] == ""
 
 
+def test_terms_far_from_an_entity_and_fixed_signatures_are_found(make):
+    rng = random.Random(2)
+    fill = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    # the name is near the address in 2 of 10 documents; the signature's neighbourhood never changes
+    far = [(i, f"Zorvath {fill(30 if i > 1 else 2)} zorv@corp.example {fill(9)}") for i in range(10)]
+    signed = [(100 + i, f"{fill(20)} Quillon Brasko Head Of Eastern Sales Desk qb@firm.example") for i in range(8)]
+    copies = [(200 + i, f"Umbrelo {' '.join('abcdefgh')} um@copy.example") for i in range(9)]
+    rows = far + signed + copies + [(1000 + i, fill(12)) for i in range(400)]
+    got = {r.doc_id: [(s.kind, r.text[s.start:s.end]) for s in r.spans] for r in sanitise.find_spans(make(rows)).collect()}
+    assert all(got[i] == [("email", "zorv@corp.example"), ("term", "Zorvath")] for i in range(10))
+    names = ["Quillon", "Brasko", "Head", "Eastern", "Sales", "Desk"]
+    assert all(got[100 + i] == [("email", "qb@firm.example"), *[("term", w) for w in names]] for i in range(8))
+    assert all(got[200 + i] == [("email", "um@copy.example")] for i in range(9))  # one text, copied
+
+
 def test_sanitise_empty_table(empty):
     assert sanitise.find_spans(empty).count() == 0
 
