@@ -11,12 +11,14 @@ backward, by wavelet ranks; occurrences are located by LF steps to a sampled
 position, and overlapping ones merge into removal spans.
 
 The benchmark is the query set.  Its phrases travel to the tasks in slices of
-at most ``SLICE_BYTES`` of item text; each slice searches all documents, and
-slices' spans merge per document, so a benchmark of any size works.
+at most ``SLICE_BYTES`` of item text; each slice searches all documents, which
+carry the spans found so far, and only one slice is in the tasks' memory at a
+time, so a benchmark of any size works.
 
 Defined cases: null text has no words; a null item or one without words never
 occurs; a null item_id is listed as None; items repeating
-an item_id are one item; an empty benchmark hits nothing.
+an item_id are one item; an empty benchmark hits nothing; rows repeating a
+doc_id, or without one, each come out as rows of their own.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelrank.llm.store import Scratch
+
 WINDOW = 10
 SAMPLE = 8
 SLICE_BYTES = 32 << 20
@@ -198,9 +202,10 @@ def _merged(first: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
 
 
 HITS = "doc_id long, n_words long, spans array<struct<first:long,last:long,start:long,end:long>>, item_ids array<string>"
+CARRIED = HITS + ", text string"  # between slices
 
 
-def _search(bc, only_hits: bool):
+def _search(bc, schema: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p: Phrases = bc.value
         for batch in batches:
@@ -215,22 +220,23 @@ def _search(bc, only_hits: bool):
                 spans[d] = [(a, b, places[a][0], places[b - 1][1])
                             for a, b in _merged(first[some], first[some] + p.length[phrase[some]])]
                 items[d] = sorted({str(i) for f in set(phrase[some].tolist()) for i in p.items[f]})
+            if "spans" in batch:  # of the slices before
+                spans = [_joined(x, y) for x, y in zip(batch["spans"], spans)]
+                items = [sorted({*x, *y}) for x, y in zip(batch["item_ids"], items)]
             out = pd.DataFrame({"doc_id": batch["doc_id"], "n_words": n_words, "spans": spans, "item_ids": items})
-            yield out[[bool(s) for s in spans]] if only_hits else out
+            yield out if schema == HITS else out.assign(text=batch["text"])
     return run
 
 
-def _joined(rows: pd.DataFrame) -> pd.DataFrame:
+def _joined(have, found: list[tuple]) -> list[tuple]:
     """Spans of one document from several slices, merged."""
-    spans = sorted(tuple(s[k] for k in ("first", "last", "start", "end")) for x in rows["spans"] for s in x)
     out = []
-    for a, b, c, d in spans:
+    for a, b, c, d in sorted([tuple(s[k] for k in ("first", "last", "start", "end")) for s in have] + found):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]), out[-1][2], max(d, out[-1][3]))
         else:
             out.append((a, b, c, d))
-    return pd.DataFrame({"doc_id": [rows["doc_id"].iloc[0]], "n_words": [rows["n_words"].iloc[0]], "spans": [out],
-                         "item_ids": [sorted({i for x in rows["item_ids"] for i in x})]})
+    return out
 
 
 def _without_hits(bc, at: int):
@@ -259,13 +265,15 @@ def removal_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """Every document: doc_id, n_words, spans (word ranges and code-point offsets of what any benchmark
     window covers) and item_ids (as strings, sorted)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = [docs.mapInPandas(_search(bc, only_hits=k > 0), HITS) for k, bc in enumerate(_slices(benchmark, window, slice_bytes))]
-    if len(found) == 1:
-        return found[0]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.groupBy("doc_id").applyInPandas(_joined, HITS)
+    *more, last = _slices(benchmark, window, slice_bytes)
+    scratch = Scratch(docs.sparkSession, "removal") if more else None
+    saved = None
+    for bc in more:
+        before, saved = saved, scratch.save(docs.mapInPandas(_search(bc, CARRIED), CARRIED))
+        if before is not None:
+            scratch.drop(before)
+        docs = saved
+    return docs.mapInPandas(_search(last, HITS), HITS)
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:

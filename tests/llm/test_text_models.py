@@ -169,6 +169,24 @@ def test_removal_spans_match_brute_force(spark, make, empty, slice_bytes):
     assert fm_index.removal_spans(make(rows), bench.limit(0)).filter("size(spans) > 0").count() == 0
 
 
+@pytest.mark.parametrize("slice_bytes", [1 << 25, 60])
+def test_removal_spans_keep_rows_with_repeated_and_null_ids(spark, make, slice_bytes):
+    rng = random.Random(8)
+    w = lambda n: [f"w{rng.randrange(12)}" for _ in range(n)]
+    items = [(i, " ".join(w(rng.choice([4, 10, 14])))) for i in range(15)]
+    # ids 0 to 4 and none, with different texts and with copies
+    rows = [(i % 6 if i % 6 < 5 else None, " ".join(w(i % 7) + [rng.choice(items)[1]] + w(i % 5))) for i in range(48)]
+    rows += rows[:9] + [(None, None), (None, None), (3, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert slice_bytes > 60 or len(fm_index._slices(bench, 10, slice_bytes)) > 5
+    got = [(r.doc_id, r.n_words, sum(s["last"] - s["first"] for s in r.spans), r.item_ids)
+           for r in fm_index.removal_spans(make(rows), bench, slice_bytes=slice_bytes).collect()]
+    want = [(i, *fm_index.brute_force(t, items)) for i, t in rows]
+    import hashlib
+    got = [(i, n, hit, hashlib.sha256(",".join(ids).encode()).hexdigest(), len(ids)) for i, n, hit, ids in got]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) == len(rows)
+
+
 def test_suffix_order_and_ranks():
     rng = np.random.default_rng(2)
     seq = np.concatenate(([0], rng.integers(0, 4, 300), [0]))
