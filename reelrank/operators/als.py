@@ -31,6 +31,7 @@ GATE_CANDIDATES = 100
 GATE_MIN_VOTES = 100
 GATE_TOP_K = 5
 PRECOMPUTE_TOP_K = 10
+PRECOMPUTE_USERS = (1, 10)  # user ids the modelled app precomputes
 
 
 def fit_als(ratings: DataFrame, rank: int = ALS_RANK, max_iter: int = ALS_MAX_ITER,
@@ -115,10 +116,20 @@ def recommend_for_users(model, users: DataFrame | None, movies: DataFrame, ratin
                     F.col("count").alias("votes")))
 
 
+def precompute_users(rows: DataFrame, user_range: tuple[int, int] | None = PRECOMPUTE_USERS) -> DataFrame:
+    """Rows of the users that the cache covers, both ends included; ``None``: all."""
+    return rows if user_range is None else rows.filter(F.col("userId").between(*user_range))
+
+
 def precompute_user_lists(model, users: DataFrame | None, movies: DataFrame, ratings: DataFrame,
                           top_k: int = PRECOMPUTE_TOP_K, candidates: int = GATE_CANDIDATES,
-                          min_votes: int = GATE_MIN_VOTES) -> DataFrame:
+                          min_votes: int = GATE_MIN_VOTES,
+                          user_range: tuple[int, int] | None = None) -> DataFrame:
     """userId, items: the gated list per user as ordered film ids (the cache
-    read by the user feed), built for all given users in one job."""
+    read by the user feed), built for all given users in one job;
+    ``user_range`` keeps only those within it."""
+    if user_range is not None:
+        known = model.userFactors.select(F.col("id").alias("userId")) if users is None else users
+        users = precompute_users(known, user_range)
     gated = recommend_for_users(model, users, movies, ratings, candidates, min_votes, top_k)
     return gated.groupBy("userId").agg(ordered_list("movieId", "rank").alias("items"))

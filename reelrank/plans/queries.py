@@ -40,7 +40,7 @@ def query(name: str):
 # Test-data settings.
 STRICT_MIN = 30            # ratings_clean_strict: (30, 30)
 TX_CAP = 10                # per-user basket cap; 50 never bites here
-TX_BEST, TX_RECENT = 6, 4  # best-or-recent variant
+TX_BEST, TX_RECENT = 6, 4  # best-or-recent variant; *_50 and *_30_20 run the modelled app's own caps
 RULES_SUPPORT = 0.20       # brand baskets: all rules one-to-one
 RULES_SUPPORT_LOW = 0.15   # the modelled app's default: two-item antecedents appear
 MIN_VOTES = 30             # no film reaches 100 votes in these tables
@@ -120,6 +120,17 @@ def q_user_recs_json_roundtrip(spark, sf):
         "userId", (F.col("pos") + 1).alias("position"), "movieId")
 
 
+@query("user_recs_json_roundtrip_all")
+def q_user_recs_json_roundtrip_all(spark, sf):
+    """The same sink and reader over the lists of all ratings, best first: every user and rated film."""
+    lists = baskets.rank_best(_ratings(spark, sf)).groupBy("userId").agg(ordered_list("movieId", "rank_best").alias("items"))
+    path = scratch_path(spark, "all-user-lists-json")
+    sinks.write_user_lists_json(lists, path)
+    back = files.read_user_lists_json(spark, path)
+    return back.select("userId", F.posexplode("items").alias("pos", "movieId")).select(
+        "userId", (F.col("pos") + 1).alias("position"), "movieId")
+
+
 @query("popular_json_roundtrip")
 def q_popular_json_roundtrip(spark, sf):
     """The popularity table written as the JSON cache and read back (rank
@@ -173,11 +184,6 @@ def q_search_titles_upper(spark, sf):
     return search.search_titles(tv.movies(spark, sf), tv.links(spark, sf), SEARCH_TERM.upper())
 
 
-@query("search_titles_too_short")
-def q_search_titles_too_short(spark, sf):
-    return search.search_titles(tv.movies(spark, sf), tv.links(spark, sf), "w")
-
-
 @query("search_titles_regex")
 def q_search_titles_regex(spark, sf):
     return search.search_titles(tv.movies(spark, sf), tv.links(spark, sf), "^red.*The", limit=100)
@@ -280,6 +286,24 @@ def q_transactions_best_or_recent(spark, sf):
     return present(tx, sorted_arrays=("items",))
 
 
+@query("top_per_user_50")
+def q_top_per_user_50(spark, sf):
+    return present(baskets.top_per_user(_high_titles(spark, sf), baskets.BASKET_CAP))
+
+
+@query("transactions_50")
+def q_transactions_50(spark, sf):
+    tx = baskets.build_baskets(_clean(spark, sf), baskets.title_items(tv.movies(spark, sf)), cap=baskets.BASKET_CAP)
+    return present(tx, sorted_arrays=("items",))
+
+
+@query("transactions_best_or_recent_30_20")
+def q_transactions_best_or_recent_30_20(spark, sf):
+    tx = baskets.build_baskets(_clean(spark, sf), baskets.title_items(tv.movies(spark, sf)), mode="best_or_recent",
+                               best_cap=baskets.BEST_CAP, recent_cap=baskets.RECENT_CAP)
+    return present(tx, sorted_arrays=("items",))
+
+
 @query("brand_baskets")
 def q_brand_baskets(spark, sf):
     return present(_brand_baskets(spark, sf), sorted_arrays=("items",))
@@ -383,7 +407,7 @@ def q_user_index_map(spark, sf):
 
 # Stand-in tier tables for the user feed, in the schemas the feed reads
 # (userId, items), bounded like the real ones.  The precomputed cache covers
-# users 1..10, the range the modelled app precomputes, with up to 10 films
+# als.PRECOMPUTE_USERS, the range the modelled app precomputes, with up to 10 films
 # each: the user's 5.0-rated films, most recent first, so a cached user may
 # have an empty list.  The ALS-table stand-in lists up to 20 films per user
 # (the ALS table's size): the user's best films rated 4.5 or more; users
@@ -395,8 +419,8 @@ def _ranked_lists(rows, k, order):
     return top.groupBy("userId").agg(ordered_list("movieId", "_rk").alias("items"))
 
 
-def _tier1_lists(spark, sf):
-    r = _ratings(spark, sf).filter(F.col("userId").between(1, 10))
+def _tier1_lists(spark, sf, user_range=als.PRECOMPUTE_USERS):
+    r = als.precompute_users(_ratings(spark, sf), user_range)
     fives = _ranked_lists(r.filter(F.col("rating") == 5.0), 10,
                           [F.col("timestamp").desc(), F.col("movieId").asc()])
     cached = r.select("userId").distinct()
