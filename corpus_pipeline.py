@@ -55,7 +55,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate),
           ("mix", mix), ("tokens", tokens)]
 
-#: The CRF and the tokenizer have no SQL form; tests/llm/test_pipeline.py compares the stages with brute force.
+#: The CRF and the tokenizer have no SQL form; test_pipeline_stages in tests/llm/test_placement.py compares near duplicates and
+#: decontamination with brute force, of mixing and tokens only the rows.
 ORACLE_SQL = None
 
 

@@ -316,10 +316,17 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = S
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """docs, all columns: one document of each component (the one that names it) and all without words.
-    Of rows repeating the kept doc_id one stays; rows with a null doc_id stay if their class has no other id."""
-    found = jaccard_components(docs, percent, shingle)
-    stay = found.filter((F.col("n_shingles") == 0) | (F.col("component_id") == F.col("doc_id"))).filter(
-        "doc_id is not null").select(F.col("doc_id").alias("llm_stay")).distinct()
-    kept = docs.join(stay, F.col("doc_id").cast("long") == F.col("llm_stay"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """docs, all columns: of each component the document with the smallest doc_id (a null one only if there is
+    no other), and all without words.  Rows are joined by a hash of doc_id and text, so that null and clashing
+    ids neither hide copies nor drop other texts; of rows repeating both, one stays."""
+    scratch = Scratch(docs.sparkSession, "keep")
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    rows = docs.withColumn("llm_row", F.shiftrightunsigned(F.xxhash64(doc_id.isNull(), doc_id, text.isNull(), text), 1))
+    found = jaccard_components(rows.select(F.col("llm_row").alias("doc_id"), "text"), percent, shingle).distinct()
+    ids = rows.select(F.col("llm_row").alias("row"), doc_id.isNull().alias("none"), doc_id.alias("id")).distinct()
+    first = F.min(F.struct("none", "id", "row"))["row"].alias("llm_row")
+    stay = found.filter("n_shingles > 0").withColumnRenamed("doc_id", "row").join(ids, "row").groupBy("component_id").agg(first)
+    stay = scratch.save(stay.select("llm_row", F.lit(True).alias("words")).unionByName(
+        found.filter("n_shingles = 0").select(F.col("doc_id").alias("llm_row"), F.lit(False).alias("words"))))
+    kept = rows.join(stay.filter("words"), "llm_row", "left_semi").dropDuplicates(["llm_row"])
+    return kept.unionByName(rows.join(stay.filter("not words"), "llm_row", "left_semi")).select(*docs.columns)

@@ -130,6 +130,19 @@ def test_keep_one_keeps_columns_and_clean_rows(make, empty):
     assert jaccard_join.keep_one(empty).count() == 0
 
 
+def test_keep_one_with_null_and_clashing_ids(make):
+    words = lambda p, n=30: " ".join(f"{p}{i}" for i in range(n))
+    a, b, c, d = words("a"), words("b"), words("c"), words("d")
+    rows = [(None, a), (None, a + " more"), (5, a), (4, a + " else"),  # copies and near copies of 4, with null ids
+            (None, b), (None, b), (None, b + " more"),                 # null ids only
+            (7, c), (7, d), (7, d),                                    # two clean texts with one id
+            (8, c + " more"), (None, ""), (None, None)]
+    kept = [(r.doc_id, r.text) for r in jaccard_join.keep_one(make(rows), 80, 5).collect()]
+    texts = [t for _, t in kept]
+    assert len(kept) == 6 and {(4, a + " else"), (7, c), (7, d), (None, ""), (None, None)} <= set(kept)
+    assert sum(t in (b, b + " more") for t in texts) == 1
+
+
 # ---------------------------------------------------------------- repeated strings
 
 @pytest.mark.parametrize("length", [200, 30])
