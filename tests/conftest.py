@@ -6,9 +6,6 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF001 = "/root/testdata/sf0.001"
-SF01 = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -31,9 +28,3 @@ def spark():
 @pytest.fixture()
 def tmp_dir():
     return tempfile.mkdtemp(prefix="reelrank-test-")
-
-
-def rows(df, *cols):
-    """Rows as plain tuples, sorted."""
-    sel = df.select(*cols) if cols else df
-    return sorted(tuple(r) for r in sel.collect())

@@ -1,5 +1,5 @@
 import pytest
-from conftest import SF01
+from testkit import SF01
 from pyspark.sql import functions as F
 
 from reelrank.operators import als, ratings

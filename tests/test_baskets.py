@@ -1,4 +1,4 @@
-from conftest import rows
+from testkit import rows
 
 from reelrank.operators import baskets as B
 

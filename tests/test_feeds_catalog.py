@@ -1,6 +1,6 @@
 import json
 
-from conftest import rows
+from testkit import rows
 
 from pyspark.sql import functions as F
 

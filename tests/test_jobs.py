@@ -1,4 +1,4 @@
-from conftest import SF001
+from testkit import SF001
 
 from reelrank.plans import jobs
 from reelrank.sources import files, sinks

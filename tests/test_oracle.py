@@ -6,7 +6,7 @@ import math
 import duckdb
 import pandas as pd
 import pytest
-from conftest import SF01
+from testkit import SF01
 
 import __spark_entry__ as E
 from reelrank.plans.oracle import ORACLE_SQL

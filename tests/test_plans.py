@@ -2,7 +2,7 @@
 relies on at scale, read from the executed physical plan."""
 
 import pytest
-from conftest import SF001
+from testkit import SF001
 
 from reelrank.plans import queries as Q
 

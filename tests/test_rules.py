@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from testkit import rows
 
 from reelrank.operators import rules as RU
 

@@ -1,6 +1,6 @@
 """Queries of the reference's own caps and of whole inputs are registered; the cached range is a parameter."""
 
-from conftest import SF001, rows
+from testkit import SF001, rows
 
 from reelrank.operators import als, baskets
 from reelrank.plans import queries as Q
