@@ -53,3 +53,63 @@ k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY char
              count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d)
 SELECT doc_id, keep_id, group_size, keep_id IS NOT DISTINCT FROM doc_id AS kept, text_sha256 FROM k
 """
+
+# crc32 bit by bit (reflected polynomial 0xEDB88320); positions are left out, SQL derives them only level by level.
+ORACLE_SQL["op11_merkle_postorder_log"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, text,
+         CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END
+         || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+         || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END
+         || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END AS head,
+         list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+                     lambda acc, b: list_reduce([CAST(k AS BIGINT) FOR k IN range(8)],
+                                                lambda x, k: xor(x >> 1, (x & 1) * CAST(3988292384 AS BIGINT)), xor(acc, b)),
+                     CAST(4294967295 AS BIGINT)) AS crc
+  FROM documents),
+l AS MATERIALIZED (
+  SELECT doc_id, lang, coalesce('=' || lang, '') AS tree,
+         sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+         CASE WHEN xor(crc, CAST(4294967295 AS BIGINT)) % 3 = 0 AND text IS NOT NULL
+              THEN sha256(head || strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))
+         END AS tampered
+  FROM d),
+r AS MATERIALIZED (
+  SELECT *, row_number() OVER () AS rid,
+         row_number() OVER (PARTITION BY tree ORDER BY doc_id ASC NULLS FIRST, leaf) - 1 AS i,
+         count(*) OVER (PARTITION BY tree) AS n
+  FROM l),
+nodes AS (
+  SELECT tree, 0 AS h, i, leaf AS d, n FROM r
+  UNION ALL
+  SELECT tree, h + 1, i // 8, sha256(string_agg(d, '' ORDER BY i)), (n + 7) // 8 FROM nodes WHERE n > 1 GROUP BY tree, h, i // 8, n),
+subroots AS MATERIALIZED (
+  SELECT tree, d, h AS height, row_number() OVER (ORDER BY tree) - 1 AS j, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS h, j AS i, d, n FROM subroots
+  UNION ALL
+  SELECT h + 1, i // 8, sha256(string_agg(d, '' ORDER BY i)), (n + 7) // 8 FROM tops WHERE n > 1 GROUP BY h, i // 8, n),
+root AS (SELECT d AS root FROM tops WHERE n = 1),
+around AS MATERIALIZED (  -- of every node below a top: the run's nodes before and after it
+  SELECT a.tree, a.h, a.i, coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS pre,
+         coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS post
+  FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.h = b.h AND a.i // 8 = b.i // 8 WHERE a.n > 1 GROUP BY 1, 2, 3
+  UNION ALL
+  SELECT NULL, a.h, a.i, coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i < a.i), ''),
+         coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i > a.i), '')
+  FROM tops a JOIN tops b ON a.h = b.h AND a.i // 8 = b.i // 8 WHERE a.n > 1 GROUP BY 2, 3),
+steps AS MATERIALIZED (
+  SELECT r.rid, a.h AS step, a.pre, a.post FROM r JOIN around a ON a.tree = r.tree AND a.i = r.i // CAST(pow(8, a.h) AS BIGINT)
+  UNION ALL
+  SELECT r.rid, s.height + a.h, a.pre, a.post FROM r JOIN subroots s ON s.tree = r.tree
+  JOIN around a ON a.tree IS NULL AND a.i = s.j // CAST(pow(8, a.h) AS BIGINT)),
+folds AS (
+  SELECT rid, CAST(0 AS BIGINT) AS step, coalesce(tampered, leaf) AS d FROM r
+  UNION ALL
+  SELECT f.rid, f.step + 1, sha256(s.pre || f.d || s.post) FROM folds f JOIN steps s ON s.rid = f.rid AND s.step = f.step),
+folded AS (SELECT rid, arg_max(d, step) AS folded_root FROM folds GROUP BY rid),
+proof AS (SELECT rid, sha256(string_agg(pre || post, '' ORDER BY step)) AS proof_sha256 FROM steps GROUP BY rid)
+SELECT r.doc_id, r.leaf, s.d AS subroot, root.root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, f.folded_root,
+       f.folded_root = root.root AS verified
+FROM r JOIN subroots s ON s.tree = r.tree CROSS JOIN root JOIN folded f ON f.rid = r.rid LEFT JOIN proof p ON p.rid = r.rid
+"""

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelrank.llm import (crf_toxicity, exact_dedup, fm_index, hd_language, jaccard_join, kd_shards, mixing, pfp_dedup,
+from reelrank.llm import (crf_toxicity, exact_dedup, fm_index, hd_language, jaccard_join, kd_shards, merkle_log, mixing, pfp_dedup,
                           sanitise, token_files)
 from reelrank.llm.store import documents, table
 from reelrank.session import scratch_path
@@ -116,3 +116,9 @@ def op9_prefix_free_repeats(spark, sf):
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return got.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_merkle_postorder_log(spark, sf):
+    """Every document's leaf, proof and root in the Merkle manifest, and the root folded from a tampered leaf."""
+    return merkle_log.Manifest(documents(spark, sf), merkle_log.lower_cased(3)).proofs().drop("log_position")
