@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelrank.llm import (crf_toxicity, exact_dedup, fm_index, hd_language, jaccard_join, kd_shards, merkle_log, mixing, pfp_dedup,
-                          sanitise, token_files)
+from reelrank.llm import (binary_codes, crf_toxicity, exact_dedup, fm_index, hard_negatives, hd_language, jaccard_join, kd_shards,
+                          merkle_log, mixing, pfp_dedup, sanitise, token_files)
 from reelrank.llm.store import documents, table
 from reelrank.session import scratch_path
 
@@ -122,3 +122,17 @@ def op9_prefix_free_repeats(spark, sf):
 def op11_merkle_postorder_log(spark, sf):
     """Every document's leaf, proof and root in the Merkle manifest, and the root folded from a tampered leaf."""
     return merkle_log.Manifest(documents(spark, sf), merkle_log.lower_cased(3)).proofs().drop("log_position")
+
+
+@query
+def op13_hard_negatives_angular(spark, sf):
+    """Hard negatives of every 50th vector, after the labels of every 7th were moved on by one."""
+    rows = table(spark, sf, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.select("vec_id", moved.alias("label"), "embedding"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op12_near_duplicates_binary_codes(spark, sf):
+    """Every vector's links to vectors of its label at a cosine of 0.93 or more, and the smallest id it is linked with."""
+    return binary_codes.near_duplicates(table(spark, sf, "embeddings"), 0.93)

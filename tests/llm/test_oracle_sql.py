@@ -11,7 +11,8 @@ from reelrank.llm.queries import REGISTRY
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF01}/documents.parquet')")
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF01}/{t}.parquet')")
     got, want = REGISTRY[name](spark, SF01).toPandas(), con.sql(ORACLE_SQL[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
