@@ -313,9 +313,9 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, id_col: str =
         edges = edges.unionByName(members.filter("rid <> root").select(F.col("rid").alias("a"), F.col("root").alias("b")))
     linked = scratch.save(links.groupBy("rid").agg(F.sum("n").alias("n_links")).join(
         components(edges, scratch).select(F.col("node").alias("rid"), "component"), "rid"))
-    named = base.select("rid", "vec_id").join(linked, "rid", "left")
-    least = named.filter("component is not null").groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    out = named.join(least, "component", "left").withColumn(
-        "component_id", F.when(F.col("component").isNull(), F.col("vec_id")).otherwise(F.col("component_id")))
-    return out.select(F.col("vec_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id",
-                      F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    named = scratch.save(base.select("rid", "vec_id").join(linked, "rid", "left"))
+    # saved, so that rows of a large component are split over tasks of the join
+    least = scratch.save(named.filter("component is not null").groupBy("component").agg(F.min("vec_id").alias("component_id")))
+    alone = named.filter("component is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return named.join(least, "component").select("vec_id", "n_links", "component_id").unionByName(alone).withColumn(
+        "kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
