@@ -145,8 +145,10 @@ def best_positives(anchors: Tile, rows: Tile, k: int) -> tuple[dict[str, list],
             upper[self_row] = -np.inf
             wanted = np.ones(upper.shape, bool)
             if len(theirs) > 4 * k:
-                # the k-th best score among each anchor's likeliest rows is a floor for the rest
-                likely = np.unique(np.argpartition(-upper, k, axis=1)[:, :k + 1])
+                # the k-th best score among rows that look best along the directions is a floor for the rest
+                guess = (np.cos(anchors.angles[chunk]) * anchors.norm[chunk][:, None]) @ (np.cos(rows.angles[theirs]) * rows.norm[theirs][:, None]).T
+                guess[self_row] = -np.inf
+                likely = np.unique(np.argpartition(-guess, k, axis=1)[:, :k + 1])
                 first = scores(anchors.ints[chunk], rows.ints[theirs[likely]])
                 first = np.where(self_row[:, likely], -LONG - 1, first)
                 floor = np.partition(first, len(likely) - k, axis=1)[:, len(likely) - k] if first.dtype != object else np.sort(first, axis=1)[:, -k]
