@@ -3,12 +3,11 @@
 Scale notes.  ALS keeps its factor blocks on the executors; with a shared
 checkpoint folder configured (``spark.checkpoint.dir``) it checkpoints every
 ``checkpoint_interval`` iterations, which both bounds lineage and lets a lost
-executor recover without replaying all iterations.  Scoring all users is a
-blocked users x items product inside Spark ML with a per-user top-k, so
-filter users first where possible (``recommend_for_users``).  Candidate lists
-are bounded by ``candidates``; every later step (posexplode, join to the
-popular-film table, per-user window) works on those bounded lists, in one
-job for all users instead of one lookup per candidate.
+executor recover without replaying all iterations.  Users are scored by
+``scoring.top_products``: exact, without the users x items product of Spark
+ML's own all-user scoring.  Candidate lists are bounded by ``candidates``;
+the gate (``gate_candidates``) works on those bounded lists, in one job for
+all users instead of one lookup per candidate.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 
 from reelrank.functions.lists import ordered_list
 from reelrank.operators.ratings import movies_with_min_votes
+from reelrank.operators.scoring import top_products
 from reelrank.session import checkpoint_dir
 
 # Training and serving parameters of the modelled app.
@@ -62,8 +62,10 @@ def fit_als(ratings: DataFrame, rank: int = ALS_RANK, max_iter: int = ALS_MAX_IT
 
 
 def recommend_all(model, k: int = RECS_PER_USER) -> DataFrame:
-    """userId, recommendations array<struct<movieId int, rating float>>."""
-    return model.recommendForAllUsers(k)
+    """userId, recommendations array<struct<movieId int, rating float>> of every user the model knows."""
+    top = top_products(model.userFactors, model.itemFactors, k)
+    entry = F.struct(F.col("movieId").cast("int").alias("movieId"), F.col("score").cast("float").alias("rating"))
+    return top.groupBy(F.col("userId").cast("int").alias("userId")).agg(ordered_list(entry, "rank").alias("recommendations"))
 
 
 def flatten_recommendations(recs: DataFrame) -> DataFrame:
@@ -80,32 +82,29 @@ def exclude_seen(recs: DataFrame, ratings: DataFrame) -> DataFrame:
 def candidate_rows(model, users: DataFrame | None, candidates: int = GATE_CANDIDATES) -> DataFrame:
     """userId, pos, movieId, rating: each user's top ``candidates`` films.
     Users unknown to the model yield no rows.  ``users=None`` means every
-    user the model knows (scored directly, without matching a user list)."""
-    if users is None:
-        recs = model.recommendForAllUsers(candidates)
-    else:
-        recs = model.recommendForUserSubset(users.select("userId"), candidates)
-    return (recs.select("userId", F.posexplode("recommendations").alias("pos", "rec"))
-            .select("userId", "pos", F.col("rec.movieId").cast("long").alias("movieId"),
-                    F.col("rec.rating").alias("rating")))
-
-
-def recommend_for_users(model, users: DataFrame | None, movies: DataFrame, ratings: DataFrame,
-                        candidates: int = GATE_CANDIDATES, min_votes: int = GATE_MIN_VOTES,
-                        top_k: int = GATE_TOP_K, exclude_rated: bool = False) -> DataFrame:
-    """Popularity-gated lists: in model order, the first ``top_k`` of each
-    user's ``candidates`` films that have >= ``min_votes`` ratings.
-
-    Columns: userId, rank, movieId, movie (title), genres, score (predicted
-    rating rounded half-even to 2 places), votes.  ``users=None``: all users
-    the model knows.  ``exclude_rated=True`` drops candidates the user has
-    already rated before gating (the modelled app keeps them).
-    """
-    cands = candidate_rows(model, users, candidates)
+    user the model knows."""
+    known = model.userFactors
+    if users is not None:
+        known = known.join(users.select(F.col("userId").alias("id")).distinct(), "id", "left_semi")
+    return top_products(known, model.itemFactors, candidates).select(
+        "userId", (F.col("rank") - 1).alias("pos"), "movieId", F.col("score").cast("float").alias("rating"))
+
+
+def gate_candidates(cands: DataFrame, movies: DataFrame, ratings: DataFrame, min_votes: int = GATE_MIN_VOTES,
+                    top_k: int = GATE_TOP_K, exclude_rated: bool = False) -> DataFrame:
+    """The popularity gate over any ranked candidates (userId, pos, movieId,
+    rating): in ``pos`` order, the first ``top_k`` of each user's films that have
+    >= ``min_votes`` ratings.
+
+    Columns: userId, rank, movieId, movie (title), genres, score (``rating``
+    rounded half-even to 2 places), votes.  ``exclude_rated=True`` drops
+    candidates the user has already rated before gating (the modelled app keeps
+    them).  Candidates may be of any origin and number: the cut is a rank of at
+    most ``top_k``, taken before the user shuffle as well."""
     if exclude_rated:
         cands = exclude_seen(cands, ratings)
     popular = movies_with_min_votes(movies, ratings, min_votes)
-    per_user = Window.partitionBy("userId").orderBy("pos")
+    per_user = Window.partitionBy("userId").orderBy("pos", "movieId")
     # Gate and cut first: titles only join what is left.
     return (cands.join(popular.select("movieId"), "movieId", "left_semi")
             .withColumn("rank", F.row_number().over(per_user))
@@ -116,6 +115,18 @@ def recommend_for_users(model, users: DataFrame | None, movies: DataFrame, ratin
                     F.col("count").alias("votes")))
 
 
+def gated_lists(gated: DataFrame) -> DataFrame:
+    """userId, items: gated rows as one ordered list of film ids per user."""
+    return gated.groupBy("userId").agg(ordered_list("movieId", "rank").alias("items"))
+
+
+def recommend_for_users(model, users: DataFrame | None, movies: DataFrame, ratings: DataFrame,
+                        candidates: int = GATE_CANDIDATES, min_votes: int = GATE_MIN_VOTES,
+                        top_k: int = GATE_TOP_K, exclude_rated: bool = False) -> DataFrame:
+    """``gate_candidates`` over the model's candidates; ``users=None``: all users the model knows."""
+    return gate_candidates(candidate_rows(model, users, candidates), movies, ratings, min_votes, top_k, exclude_rated)
+
+
 def precompute_users(rows: DataFrame, user_range: tuple[int, int] | None = PRECOMPUTE_USERS) -> DataFrame:
     """Rows of the users that the cache covers, both ends included; ``None``: all."""
     return rows if user_range is None else rows.filter(F.col("userId").between(*user_range))
@@ -132,4 +143,4 @@ def precompute_user_lists(model, users: DataFrame | None, movies: DataFrame, rat
         known = model.userFactors.select(F.col("id").alias("userId")) if users is None else users
         users = precompute_users(known, user_range)
     gated = recommend_for_users(model, users, movies, ratings, candidates, min_votes, top_k)
-    return gated.groupBy("userId").agg(ordered_list("movieId", "rank").alias("items"))
+    return gated_lists(gated)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelrank import schemas
-from reelrank.operators import als, baskets, feeds, indexing, popular, ratings, rules, search
+from reelrank.operators import als, baskets, feeds, indexing, popular, ratings, rules, scoring, search
 from reelrank.functions.lists import ordered_list
 from reelrank.plans.present import present
 from reelrank.session import scratch_path
@@ -45,6 +45,7 @@ RULES_SUPPORT = 0.20       # brand baskets: all rules one-to-one
 RULES_SUPPORT_LOW = 0.15   # the modelled app's default: two-item antecedents appear
 MIN_VOTES = 30             # no film reaches 100 votes in these tables
 TOP_LIFT = 5
+FIT_GAP = 1e-3             # largest violation of the normal equations, relative to their terms
 PREFIX_N = 10
 SEARCH_TERM = "widget"
 
@@ -398,6 +399,81 @@ def q_precomputed_user_recs(spark, sf):
     return present(lists, ordered_arrays=("items",))
 
 
+@query("als_fit_optimal")
+def q_als_fit_optimal(spark, sf):
+    """Every user's factors against the regularised normal equation of its
+    ratings and the film factors (the last half step of the fit), factors being
+    32-bit floats."""
+    model = _als_model(spark, sf)
+    got = scoring.fit_residuals(_clean(spark, sf), model.userFactors, model.itemFactors, als.ALS_RANK, als.ALS_REG_PARAM)
+    return got.select("userId", "n_ratings", (F.col("least") >= 0).alias("nonnegative"), (F.col("gap") < FIT_GAP).alias("optimal"))
+
+
+@query("als_lists_verified")
+def q_als_lists_verified(spark, sf):
+    """Every user's ALS list against all films: its length, whether scores fall
+    and equal the factors' products, and whether no film outside scores more."""
+    model = _als_model(spark, sf)
+    listed = als.candidate_rows(model, None, als.RECS_PER_USER)
+    again = scoring.predict_pairs(listed, model.userFactors, model.itemFactors)
+    rows = listed.join(again, ["userId", "movieId"])
+    after = Window.partitionBy("userId").orderBy("pos")
+    rows = rows.withColumn("falls", F.coalesce(F.col("rating") <= F.lag("rating").over(after), F.lit(True)))
+    lists = rows.groupBy("userId").agg(F.count(F.lit(1)).alias("n"), F.bool_and("falls").alias("ordered"),
+                                       F.bool_and(F.abs(F.col("rating") - F.col("prediction")) < 1e-4).alias("scored"),
+                                       F.min("prediction").alias("last"))
+    # another way to the same bound: Spark ML's own list of one film more than ours
+    ml = model.recommendForAllUsers(als.RECS_PER_USER + 1).select(
+        F.col("userId").cast("long").alias("userId"), F.get("recommendations.rating", F.lit(als.RECS_PER_USER - 1)).alias("kth"),
+        F.get("recommendations.rating", F.lit(als.RECS_PER_USER)).alias("next"))
+    return lists.join(ml, "userId").select(
+        "userId", "n", "ordered", "scored",
+        ((F.abs(F.col("kth") - F.col("last")) < 1e-4) & (F.coalesce("next", F.lit(0.0)) <= F.col("last") + 1e-4)).alias("complete"))
+
+
+def _profile_candidates(spark, sf, k):
+    return scoring.top_products(tv.user_profiles(spark, sf), tv.movie_profiles(spark, sf), k)
+
+
+@query("profile_top_films")
+def q_profile_top_films(spark, sf):
+    """Exact top 20 by inner product over factor tables that SQL can rebuild, all users against all films."""
+    return present(_profile_candidates(spark, sf, als.RECS_PER_USER))
+
+
+def _profile_gated(spark, sf, top_k):
+    cands = _profile_candidates(spark, sf, als.GATE_CANDIDATES).select(
+        "userId", (F.col("rank") - 1).alias("pos"), "movieId", F.col("score").alias("rating"))
+    return als.gate_candidates(cands, tv.movies(spark, sf), _ratings(spark, sf), MIN_VOTES, top_k)
+
+
+@query("profile_candidates_gated")
+def q_profile_candidates_gated(spark, sf):
+    return present(_profile_gated(spark, sf, als.GATE_TOP_K))
+
+
+@query("profile_user_lists")
+def q_profile_user_lists(spark, sf):
+    return present(als.gated_lists(_profile_gated(spark, sf, als.PRECOMPUTE_TOP_K)), ordered_arrays=("items",))
+
+
+@query("rated_candidates_gated")
+def q_rated_candidates_gated(spark, sf):
+    """The gate over candidates of another origin: each user's own films, best first."""
+    best = baskets.rank_best(_ratings(spark, sf)).select("userId", F.col("rank_best").alias("pos"), "movieId", "rating")
+    return present(als.gate_candidates(best, tv.movies(spark, sf), _ratings(spark, sf), MIN_VOTES))
+
+
+@query("predicted_pairs")
+def q_predicted_pairs(spark, sf):
+    return present(scoring.predict_pairs(tv.asked_pairs(spark, sf), tv.user_profiles(spark, sf), tv.movie_profiles(spark, sf)))
+
+
+@query("predicted_pairs_cold")
+def q_predicted_pairs_cold(spark, sf):
+    return scoring.cold_pairs(tv.asked_pairs(spark, sf), tv.user_profiles(spark, sf), tv.movie_profiles(spark, sf))
+
+
 @query("user_index_map")
 def q_user_index_map(spark, sf):
     return indexing.contiguous_index(_clean(spark, sf), "userId", "userIndex")
@@ -484,6 +560,7 @@ def q_movie_page_records(spark, sf):
     return present(rows, ordered_arrays=("genres",))
 
 
-# Queries whose result depends on a trained ALS model: no SQL form.
+# Lists of film ids from a trained ALS model have no SQL form: als_fit_optimal and als_lists_verified check the
+# fit and the lists by their properties, and profile_* the same operators over factor tables that SQL rebuilds.
 NO_ORACLE = {"als_recommend_all", "als_recommendations_flat", "als_popular_gated",
              "precomputed_user_recs"}

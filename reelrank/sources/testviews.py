@@ -116,3 +116,27 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 7 == 3, F.lit("{}")).otherwise(F.to_json(detail)).alias("detail"),
         F.to_json(F.struct(videos.alias("results"))).alias("videos"),
     )
+
+
+def _brand_group():
+    return F.regexp_replace("p_brand", "[^0-9]", "").cast("int") % 5 + 1
+
+
+def user_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, features: factor rows of whole numbers that SQL can rebuild: a user's
+    high ratings (3.5 or more) by the film's group of brands, then 1."""
+    rows = ratings(spark, sf_dir).join(table(spark, sf_dir, "part"), F.col("movieId") == F.col("p_partkey"))
+    high = [F.count_if((_brand_group() == g) & (F.col("rating") >= 3.5)).cast("double") for g in range(1, 6)]
+    return rows.groupBy(F.col("userId").alias("id")).agg(F.array(*high, F.lit(1.0)).alias("features"))
+
+
+def movie_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, features: a film's ratings in its brand group's place, then the sum of its ratings in half stars."""
+    rows = ratings(spark, sf_dir).join(table(spark, sf_dir, "part"), F.col("movieId") == F.col("p_partkey"))
+    votes = [F.count_if(_brand_group() == g).cast("double") for g in range(1, 6)]
+    return rows.groupBy(F.col("movieId").alias("id")).agg(F.array(*votes, F.sum(F.col("rating") * 2)).alias("features"))
+
+
+def asked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """userId, movieId: pairs to predict, some of unknown users or films (every rating's ids, doubled and moved by 50)."""
+    return ratings(spark, sf_dir).select((F.col("userId") * 2).alias("userId"), (F.col("movieId") + 50).alias("movieId")).distinct()
