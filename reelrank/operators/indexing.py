@@ -49,3 +49,20 @@ def apply_index(df: DataFrame, mapping: DataFrame, col: str, out_col: str | None
     """Replace-by-join: add ``out_col`` to ``df`` from a mapping table."""
     out_col = out_col or f"{col}Index"
     return df.join(mapping.select(col, out_col), col)
+
+
+def extend_index(mapping: DataFrame, df: DataFrame, col: str, out_col: str | None = None) -> DataFrame:
+    """``mapping`` with a number for every id of ``df`` that has none: old ids keep
+    theirs, new ones follow in the order of ``contiguous_index``.  Read from a
+    written mapping, the result is the next version of it."""
+    out_col = out_col or f"{col}Index"
+    new = contiguous_index(df.join(mapping.select(col), col, "left_anti"), col, out_col)
+    start = mapping.agg(F.coalesce(F.max(out_col) + 1, F.lit(0).cast("long"))).scalar()
+    return mapping.select(col, out_col).unionByName(new.select(col, (F.col(out_col) + start).alias(out_col)))
+
+
+def invert_index(df: DataFrame, mapping: DataFrame, col: str, out_col: str | None = None) -> DataFrame:
+    """The way back: replace ``out_col`` in ``df`` by the id it stands for."""
+    out_col = out_col or f"{col}Index"
+    rest = [c for c in df.columns if c != out_col]
+    return df.join(mapping.select(col, out_col), out_col).select(col, *rest)

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from reelrank.operators.ratings import rating_stats
 
+MAX_TOP_N = 10_000  # the ranking is shipped to tasks as one array by the feeds
+
+
 def _order():
     return (F.col("count").desc(), F.col("avg_rating").desc(), F.col("movieId").asc())
 
@@ -42,7 +45,10 @@ def with_external_id(df: DataFrame, links: DataFrame, how: str = "left",
 def popular_movies(ratings: DataFrame, links: DataFrame | None = None,
                    top_n: int = 20, min_count: int = 5) -> DataFrame:
     """Most-rated films with >= ``min_count`` non-null ratings, ordered by count
-    desc, mean desc, id asc; columns rank, movieId, tmdbId, count, avg_rating."""
+    desc, mean desc, id asc; columns rank, movieId, tmdbId, count, avg_rating.
+    ``top_n`` is at most ``MAX_TOP_N``."""
+    if not 0 <= top_n <= MAX_TOP_N:
+        raise ValueError(f"top_n must be in 0..{MAX_TOP_N}")
     top = (rating_stats(ratings)
            .filter(F.col("count") >= min_count)
            .orderBy(*_order())

@@ -5,8 +5,8 @@ so a user or film holding a third of all rows still costs one small partial
 row per task.  The activity filter reads the two key columns once for both
 counts (grouping sets) and the rows once; the rows shuffle for the user
 semi-join (the film key set is usually small enough for AQE to broadcast by
-measured size).  A hot user or film on those joins is salted
-(``operators.skew``): its rows spread over several join partitions.
+measured size).  Both sides of each semi-join are plain shuffles, so AQE
+splits a hot user or film over several tasks.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelrank.operators.skew import MAX_HOT_KEYS, MIN_HOT_ROWS, collect_hot_keys, semi_join
 from reelrank.session import cut_lineage
 
 RATING_COLS = ("userId", "movieId", "rating", "timestamp")
@@ -46,33 +45,20 @@ def activity_counts(ratings: DataFrame) -> DataFrame:
 
 
 def filter_active(ratings: DataFrame, min_user: int = MIN_USER_RATINGS,
-                  min_item: int = MIN_MOVIE_RATINGS, max_hot_keys: int = MAX_HOT_KEYS,
-                  min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+                  min_item: int = MIN_MOVIE_RATINGS) -> DataFrame:
     """Keep ratings of users with >= ``min_user`` rows and films with >=
     ``min_item`` rows.  One pass: both counts come from the unfiltered input,
     so a user can fall under ``min_user`` after films are removed.
 
-    Both counts come from one scan (grouping sets) and are cut from their
-    lineage (checkpointed, or persisted without a checkpoint folder: one
-    row per user or film).  The key sets are
-    aggregates on the join key, which AQE's skew handling cannot split, so
-    hot users and films are found first (one small job whose result is
-    bounded by ``max_hot_keys``) and only their rows are salted across
-    several join partitions (``operators.skew``); without hot keys the plan
-    is the plain pair of semi-joins."""
-    # One row per user or film; read by the hot-key job and by both key sets.
+    The counts are cut from their lineage (checkpointed, or persisted without
+    a checkpoint folder: one row per user or film).  A semi-join against an
+    aggregate on its own key would have no shuffle on that side, and AQE splits
+    a skewed partition only between two plain shuffles; against the written
+    counts it can, so a user holding a third of the rows is no single task."""
     counts = cut_lineage(activity_counts(ratings))
-    user_counts = counts.filter(F.col("gid") == 1).select("userId", F.col("n").alias("user_count"))
-    movie_counts = counts.filter(F.col("gid") == 2).select("movieId", F.col("n").alias("movie_count"))
-    hot = collect_hot_keys(ratings.sparkSession, {
-        "user": (user_counts, "userId", "user_count"),
-        "movie": (movie_counts, "movieId", "movie_count"),
-    }, max_hot_keys, min_hot_rows)
-    users = user_counts.filter(F.col("user_count") >= min_user)
-    items = movie_counts.filter(F.col("movie_count") >= min_item)
-    kept = semi_join(ratings, users, "userId", hot["user"])
-    kept = semi_join(kept, items, "movieId", hot["movie"])
-    return kept.select(*RATING_COLS)
+    users = counts.filter((F.col("gid") == 1) & (F.col("n") >= min_user)).select("userId")
+    items = counts.filter((F.col("gid") == 2) & (F.col("n") >= min_item)).select("movieId")
+    return ratings.join(users, "userId", "left_semi").join(items, "movieId", "left_semi").select(*RATING_COLS)
 
 
 def high_rated(ratings: DataFrame, min_rating: float = MIN_RATING_FOR_RULES) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelrank.functions.lists import ordered_list, sorted_key
+from reelrank.session import cut_lineage
 
 # Defaults of the modelled app.
 MIN_SUPPORT = 0.15
@@ -129,7 +130,8 @@ def related_index(rules: DataFrame, labels: DataFrame, top_k: int = 10,
              .select("a", F.explode(F.array_distinct("consequent")).alias("c"), "lift")
              .filter(F.col("a") != F.col("c")))
     scored = pairs.groupBy("a", "c").agg(F.max("lift").alias("score"))
-    ids = label_ids(labels, label_col)
+    # written once and read by both joins: two plain shuffles each, which AQE can split at a hot label
+    ids = cut_lineage(label_ids(labels, label_col))
     a_ids = ids.select(F.col("item").alias("a"), F.col("movieId").alias("a_id"))
     c_ids = ids.select(F.col("item").alias("c"), F.col("movieId").alias("c_id"))
     mapped = scored.join(a_ids, "a").join(c_ids, "c")

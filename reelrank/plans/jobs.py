@@ -2,7 +2,7 @@
 
     preprocess      raw ratings + films CSV -> baskets table, ALS input table
     train_rules     baskets -> rules table, related-film index
-    train_als       ALS input -> model directory, top-k table per user
+    train_als       ALS input -> id dictionaries, model directory, top-k table per user
     build_popular   raw ratings + links -> ranked popularity table
     precompute_user_lists
                     model + users -> JSON-lines cache of gated lists
@@ -20,7 +20,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from reelrank.operators import als, baskets, popular, ratings, rules
+from reelrank.functions.lists import ordered_list
+from reelrank.operators import als, baskets, indexing, popular, ratings, rules
+from reelrank.session import cut_lineage
 from reelrank.sources import files, sinks
 
 
@@ -53,6 +55,14 @@ class Layout:
     def als_model(self) -> str:
         return self._p("models/als")
 
+    @property
+    def user_index(self) -> str:
+        return self._p("models/user_index")
+
+    @property
+    def movie_index(self) -> str:
+        return self._p("models/movie_index")
+
     @property
     def als_recs(self) -> str:
         return self._p("results/als_recommendations")
@@ -118,19 +128,44 @@ def train_rules(spark: SparkSession, movies_csv: str, layout: Layout, force: boo
     return {"skipped": False, "rules": n}
 
 
+def _next_index(spark: SparkSession, path: str, data: DataFrame, col: str) -> DataFrame:
+    """The dictionary at ``path`` with a number for every id of ``data``; ids that it holds keep theirs."""
+    if sinks.has_success_marker(spark, path):
+        index = cut_lineage(indexing.extend_index(files.read_table(spark, path), data, col))
+    else:
+        index = indexing.contiguous_index(data, col)
+    sinks.write_table(index, path)
+    return files.read_table(spark, path)
+
+
 def train_als(spark: SparkSession, layout: Layout, force: bool = False, k: int = als.RECS_PER_USER,
               **params) -> dict:
-    """Fit ALS on the ALS input; save the model and each user's top-k ids."""
-    if not force and _done(spark, layout.als_recs) and sinks.has_success_marker(
+    """Fit ALS on the ALS input; save the model and each user's top-k film ids.
+
+    Ids are 64-bit and Spark ML's are 32-bit: the model is fitted on the numbers
+    of two dictionaries, which are written first and grow with new ids, so a
+    number never changes its meaning between runs."""
+    if not force and _done(spark, layout.als_recs, layout.user_index, layout.movie_index) and sinks.has_success_marker(
             spark, layout.als_model + "/metadata"):
         return {"skipped": True}
     data = files.read_table(spark, layout.als_input)
-    model = als.fit_als(data, **params)
+    users = _next_index(spark, layout.user_index, data, "userId")
+    movies = _next_index(spark, layout.movie_index, data, "movieId")
+    mapped = indexing.apply_index(indexing.apply_index(data, users, "userId"), movies, "movieId").select(
+        F.col("userIdIndex").cast("int").alias("userId"), F.col("movieIdIndex").cast("int").alias("movieId"), "rating")
+    model = als.fit_als(mapped, **params)
     sinks.save_model(model, layout.als_model)
-    sinks.write_table(als.flatten_recommendations(als.recommend_all(model, k)), layout.als_recs)
+    cands = _original_ids(als.candidate_rows(model, None, k), users, movies)
+    sinks.write_table(cands.groupBy("userId").agg(ordered_list("movieId", "pos").alias("recommendations")), layout.als_recs)
     return {"skipped": False}
 
 
+def _original_ids(cands: DataFrame, users: DataFrame, movies: DataFrame) -> DataFrame:
+    """Candidates of a model fitted on dictionary numbers (userId, pos, movieId, rating), under their ids."""
+    numbered = cands.withColumnsRenamed({"userId": "userIdIndex", "movieId": "movieIdIndex"})
+    return indexing.invert_index(indexing.invert_index(numbered, movies, "movieId"), users, "userId")
+
+
 def build_popular(spark: SparkSession, ratings_csv: str, links_csv: str, layout: Layout,
                   top_n: int = 20, min_count: int = 5, force: bool = False) -> DataFrame:
     """The ranked popularity table (read by ``popular_prefix`` and feeds)."""
@@ -147,8 +182,10 @@ def precompute_user_lists(spark: SparkSession, users: DataFrame, ratings_csv: st
     if not force and _done(spark, layout.user_cache):
         return {"skipped": True}
     model = files.load_als_model(layout.als_model)
-    lists = als.precompute_user_lists(model, users, files.read_movies_csv(spark, movies_csv),
-                                      files.read_ratings_csv(spark, ratings_csv),
-                                      top_k=top_k, min_votes=min_votes)
+    user_index, movie_index = files.read_table(spark, layout.user_index), files.read_table(spark, layout.movie_index)
+    asked = indexing.apply_index(users.select("userId"), user_index, "userId").select(F.col("userIdIndex").alias("userId"))
+    cands = _original_ids(als.candidate_rows(model, asked), user_index, movie_index)
+    lists = als.gated_lists(als.gate_candidates(cands, files.read_movies_csv(spark, movies_csv),
+                                                files.read_ratings_csv(spark, ratings_csv), min_votes, top_k))
     sinks.write_user_lists_json(lists, layout.user_cache)
     return {"skipped": False}

@@ -45,6 +45,7 @@ RULES_SUPPORT = 0.20       # brand baskets: all rules one-to-one
 RULES_SUPPORT_LOW = 0.15   # the modelled app's default: two-item antecedents appear
 MIN_VOTES = 30             # no film reaches 100 votes in these tables
 TOP_LIFT = 5
+INDEX_CUT = 815_000_000    # 1995-10-29: some users have no rating before it
 FIT_GAP = 1e-3             # largest violation of the normal equations, relative to their terms
 PREFIX_N = 10
 SEARCH_TERM = "widget"
@@ -132,6 +133,18 @@ def q_user_recs_json_roundtrip_all(spark, sf):
         "userId", (F.col("pos") + 1).alias("position"), "movieId")
 
 
+@query("user_map_json_roundtrip")
+def q_user_map_json_roundtrip(spark, sf):
+    """The lists of all ratings written as one JSON object by user, committed as one file, and read back by several tasks."""
+    lists = baskets.rank_best(_ratings(spark, sf)).groupBy("userId").agg(ordered_list("movieId", "rank_best").alias("items"))
+    parts, single = scratch_path(spark, "user-map-parts"), scratch_path(spark, "user-map") + ".json"
+    sinks.write_user_map_json(lists, parts)
+    sinks.commit_single_file(spark, parts, single)
+    back = files.read_user_lists_json(spark, single)
+    return back.select("userId", F.posexplode("items").alias("pos", "movieId")).select(
+        "userId", (F.col("pos") + 1).alias("position"), "movieId")
+
+
 @query("popular_json_roundtrip")
 def q_popular_json_roundtrip(spark, sf):
     """The popularity table written as the JSON cache and read back (rank
@@ -196,6 +209,23 @@ def q_search_titles_literal(spark, sf):
                                 limit=25, regex=False)
 
 
+@query("search_titles_batch")
+def q_search_titles_batch(spark, sf):
+    """A table of literal terms at once: every film name with the last digits of its ids, and every two-digit number."""
+    p = tv.table(spark, sf, "part").select(F.upper("p_name").alias("name"), (F.col("p_partkey") % 50).cast("string").alias("n"))
+    terms = p.select(F.concat("name", F.lit(" "), "n").alias("term")).unionByName(p.select(F.col("n").alias("term")))
+    return search.search_titles_batch(tv.movies(spark, sf), tv.links(spark, sf), terms)
+
+
+@query("search_titles_batch_regex")
+def q_search_titles_batch_regex(spark, sf):
+    """Patterns with anchors and gaps (indexed by their literal parts) and with alternatives (tested against all titles)."""
+    p = tv.table(spark, sf, "part").select(F.split("p_name", " ").alias("w"), (F.col("p_partkey") % 50).cast("string").alias("n"))
+    terms = p.select(F.concat(F.lit("^"), F.col("w")[0], F.lit(".*"), "n", F.lit(", the")).alias("term")).unionByName(
+        p.select(F.concat(F.lit("("), F.col("w")[0], F.lit("|no such) .*"), F.col("w")[1]).alias("term")))
+    return search.search_titles_batch(tv.movies(spark, sf), tv.links(spark, sf), terms, regex=True)
+
+
 @query("movie_detail")
 def q_movie_detail(spark, sf):
     return present(feeds.movie_details(tv.catalog(spark, sf), tv.links(spark, sf)),
@@ -479,6 +509,29 @@ def q_user_index_map(spark, sf):
     return indexing.contiguous_index(_clean(spark, sf), "userId", "userIndex")
 
 
+@query("movie_index_map")
+def q_movie_index_map(spark, sf):
+    return indexing.contiguous_index(_clean(spark, sf), "movieId", "movieIndex")
+
+
+@query("user_index_extended")
+def q_user_index_extended(spark, sf):
+    """A dictionary of users with ratings before INDEX_CUT, extended by all other users."""
+    r = _ratings(spark, sf)
+    old = indexing.contiguous_index(r.filter(F.col("timestamp") < INDEX_CUT), "userId", "userIndex")
+    return indexing.extend_index(old, r, "userId", "userIndex")
+
+
+@query("index_roundtrip")
+def q_index_roundtrip(spark, sf):
+    """Clean ratings under dictionary numbers and back."""
+    clean = _clean(spark, sf)
+    users, movies = indexing.contiguous_index(clean, "userId"), indexing.contiguous_index(clean, "movieId")
+    there = indexing.apply_index(indexing.apply_index(clean, users, "userId"), movies, "movieId").drop("userId", "movieId")
+    back = indexing.invert_index(indexing.invert_index(there, users, "userId"), movies, "movieId")
+    return present(back.select(*ratings.RATING_COLS))
+
+
 # ---------------------------------------------------------------- 8.x serving compositions
 
 # Stand-in tier tables for the user feed, in the schemas the feed reads
@@ -513,15 +566,16 @@ def _tier2_lists(spark, sf):
 @query("user_feed")
 def q_user_feed(spark, sf):
     users = _ratings(spark, sf).select("userId").distinct()
-    feed = feeds.user_feed(users, _tier1_lists(spark, sf), _tier2_lists(spark, sf),
-                           _popular(spark, sf, 20, 3))
-    return feeds.resolve_feed(feed, tv.links(spark, sf), "userId")
+    top = _popular(spark, sf, 20, 3)
+    feed = feeds.user_feed(users, _tier1_lists(spark, sf), _tier2_lists(spark, sf), top)
+    return feeds.resolve_feed(feed, tv.links(spark, sf), "userId", top)
 
 
 @query("movie_feed")
 def q_movie_feed(spark, sf):
-    feed = feeds.movie_feed(tv.movies(spark, sf), _related(spark, sf), _popular(spark, sf, 20, 5))
-    return feeds.resolve_feed(feed, tv.links(spark, sf), "movieId")
+    top = _popular(spark, sf, 20, 5)
+    feed = feeds.movie_feed(tv.movies(spark, sf), _related(spark, sf), top)
+    return feeds.resolve_feed(feed, tv.links(spark, sf), "movieId", top)
 
 
 @query("movie_pages")

@@ -26,7 +26,14 @@ def test_pipeline_end_to_end(spark, tmp_dir):
     assert jobs.train_als(spark, lay, rank=4, max_iter=2) == {"skipped": False}
     assert jobs.train_als(spark, lay) == {"skipped": True}
     recs = files.read_table(spark, lay.als_recs)
-    assert dict(recs.dtypes)["recommendations"] == "array<int>"
+    assert dict(recs.dtypes) == {"userId": "bigint", "recommendations": "array<bigint>"}
+    clean = files.read_table(spark, lay.als_input)
+    assert recs.count() == clean.select("userId").distinct().count()
+    shown = recs.selectExpr("explode(recommendations) as movieId").distinct()
+    assert shown.join(clean, "movieId", "left_anti").count() == 0
+    index = {r.userId: r.userIdIndex for r in files.read_table(spark, lay.user_index).collect()}
+    assert jobs.train_als(spark, lay, force=True, rank=4, max_iter=2) == {"skipped": False}
+    assert {r.userId: r.userIdIndex for r in files.read_table(spark, lay.user_index).collect()} == index
 
     pop = jobs.build_popular(spark, raw + "/ratings", raw + "/links", lay)
     assert pop.count() == 20

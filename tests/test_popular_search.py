@@ -81,3 +81,19 @@ def test_bounded_lookup_narrows_links_by_broadcast(spark):
         assert any("BroadcastHashJoin" in line and "LeftSemi" in line for line in plan.split("\n"))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_batch_search_equals_single_searches(spark):
+    from reelrank.operators import search
+
+    titles = ["The Godfather (1972)", "godFATHER part", "Straße", "STRASSE", "İstanbul", "istanbul ISTANBUL", "Kelvin K", "a.b", "aXb", "Red Dog, The",
+              "dogs", "x", "", None, "Οδοσ", "ΟΔΟΣ ΑΒΓ", "father of the god", "Ünlü"]
+    movies = spark.createDataFrame([(k, t) for k, t in enumerate(titles)], "movieId long, title string").repartition(3)
+    links = spark.createDataFrame([(k, float(k)) for k in range(10)], "movieId long, tmdbId double")
+    literal = ["godfather", "GOD", "strasse", "ist", "kel", "a.b", "og", "zzz nothing", "x", "", None, "οδοσ", "ünl", "the"]
+    patterns = ["^the", "god.*er", "^red.*the$", "a.b", "(dog|kel)", "d[oa]g", "ist", "f.", "g+o", "^$"]
+    for regex, terms in ((False, literal), (True, patterns)):
+        got = search.search_titles_batch(movies, links, spark.createDataFrame([(t,) for t in terms + terms[:2]], "term string"), 3, regex)
+        want = [(t, i + 1, r.movieId, r.title, r.tmdbId) for t in terms if t is not None
+                for i, r in enumerate(search.search_titles(movies, links, t, 3, regex).orderBy("movieId").collect())]
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)

@@ -7,7 +7,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reelrank.operators.ranking import row_number_within
-from reelrank.operators.skew import hot_keys, semi_join
 
 ROWS = st.lists(st.tuples(st.integers(0, 5), st.integers(0, 40), st.integers(0, 3)),
                 min_size=1, max_size=120)
@@ -26,15 +25,16 @@ def test_row_number_within_equals_window(spark, rows, parts):
     assert sorted(map(tuple, ours)) == sorted(map(tuple, plain.select("i", "rk").collect()))
 
 
+
 @SETTINGS
-@given(rows=ROWS, keep=st.sets(st.integers(0, 5)))
-def test_salted_semi_join_equals_plain(spark, rows, keep):
-    df = spark.createDataFrame([(g, v, w, i) for i, (g, v, w) in enumerate(rows)],
-                               "g long, v long, w long, i long").repartition(3)
-    keys = spark.createDataFrame([(k,) for k in sorted(keep)], "g long")
-    counts = df.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    hot = hot_keys(counts, "g", "n", max_hot_keys=4, min_hot_rows=2)
-    salted = semi_join(df, keys, "g", hot).select("i").collect()
-    plain = semi_join(df, keys, "g", None).select("i").collect()
-    assert sorted(r.i for r in salted) == sorted(r.i for r in plain)
-    assert sorted(r.i for r in plain) == sorted(i for i, (g, _, _) in enumerate(rows) if g in keep)
+@given(rows=ROWS, min_user=st.integers(1, 6), min_item=st.integers(1, 4))
+def test_activity_filter_equals_counts(spark, rows, min_user, min_item):
+    from collections import Counter
+
+    from reelrank.operators.ratings import filter_active
+
+    df = spark.createDataFrame([(u, m, float(r), i) for i, (u, m, r) in enumerate(rows)],
+                               "userId long, movieId long, rating double, timestamp long").repartition(3)
+    users, movies = Counter(u for u, _, _ in rows), Counter(m for _, m, _ in rows)
+    got = sorted(r.timestamp for r in filter_active(df, min_user, min_item).collect())
+    assert got == [i for i, (u, m, _) in enumerate(rows) if users[u] >= min_user and movies[m] >= min_item]

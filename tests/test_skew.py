@@ -41,35 +41,35 @@ def _ratings(spark):
             .repartition(8))
 
 
-def test_semi_join_salts_hot_user(spark, skew_conf):
-    from reelrank.operators.skew import hot_keys
+def _is_split(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "skew=true" in plan or "isSkew=true" in plan or "AQEShuffleRead skewed" in plan
 
+
+def test_activity_filter_splits_a_hot_user(spark, skew_conf):
     r = _ratings(spark)
-    counts = ratings.user_rating_counts(r)
-    hot = {k: n for k, n in hot_keys(counts, "userId", "user_count", max_hot_keys=100,
-                                       min_hot_rows=1000).collect()}
-    assert set(hot) == {7} and hot[7] == 20   # 20,000 rows in pieces of 1,000
-    out = ratings.filter_active(r, min_user=5, min_item=10, max_hot_keys=100, min_hot_rows=1000)
+    out = ratings.filter_active(r, min_user=5, min_item=10)
     got = sorted(tuple(x) for x in out.collect())
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "_salt" in plan and "BroadcastExchange" in plan
     # the exact answer, computed without joins
     users = {u for u, c in r.groupBy("userId").count().collect() if c >= 5}
     items = {m for m, c in r.groupBy("movieId").count().collect() if c >= 10}
     want = sorted(tuple(x) for x in r.filter(F.col("userId").isin(list(users))
                                               & F.col("movieId").isin(list(items))).collect())
     assert got == want
-    # the hot user's rows reach the join under 20 different salts
-    from reelrank.operators.skew import salted_semi_join
-    salted = salted_semi_join(r, counts, "userId", counts, "user_count", 100, 1000)
-    assert salted.filter("userId = 7").count() == 20000
+    assert _is_split(ratings.filter_active(r, min_user=5, min_item=10))
 
 
-def test_default_thresholds_leave_small_data_unsalted(spark):
-    from reelrank.operators.skew import hot_keys
+def test_related_index_splits_a_hot_consequent(spark, skew_conf):
+    from reelrank.operators import rules
 
-    r = _ratings(spark)
-    assert hot_keys(ratings.user_rating_counts(r), "userId", "user_count").count() == 0
+    found = spark.range(0, 20000).selectExpr("array(concat('a', id)) as antecedent", "array('hot') as consequent", "0.5 as confidence",
+                                             "1.0D + id as lift", "0.1 as support").repartition(8)
+    labels = spark.range(0, 20000).selectExpr("id as movieId", "concat('a', id) as item").unionByName(
+        spark.range(20000, 20001).selectExpr("id as movieId", "'hot' as item")).repartition(8)
+    out = rules.related_index(found, labels)
+    assert _is_split(out)
+    assert out.count() == 20000 and out.filter("items <> array(20000L)").count() == 0
 
 
 def test_capped_baskets_with_hot_user(spark, skew_conf):
@@ -84,17 +84,35 @@ def test_capped_baskets_with_hot_user(spark, skew_conf):
     assert len(tx["items"]) == 50
 
 
+def _hot_feed(spark, source):
+    # 30,000 users show the same list: its films are hot keys
+    return spark.range(0, 30000).selectExpr(
+        "id as userId", f"'{source}' as source",
+        "case when id >= 0 then array(5L, 6L, 7L) end as items").repartition(8)
+
+
+def _hot_links(spark):
+    return spark.range(0, 100).selectExpr("id as movieId", "cast(id as string) as imdbId",
+                                          "cast(id * 7 + 1 as double) as tmdbId")
+
+
 def test_hot_film_in_feed_resolution_is_split_by_aqe(spark, skew_conf):
     from reelrank.operators.feeds import resolve_feed
 
-    # 30,000 users all fall back to the same popular list: its films are hot keys
-    feed = spark.range(0, 30000).selectExpr(
-        "id as userId", "'popular' as source",
-        "case when id >= 0 then array(5L, 6L, 7L) end as items").repartition(8)
-    links = spark.range(0, 100).selectExpr("id as movieId", "cast(id as string) as imdbId",
-                                           "cast(id * 7 + 1 as double) as tmdbId")
-    out = resolve_feed(feed, links, "userId")
+    out = resolve_feed(_hot_feed(spark, "als"), _hot_links(spark), "userId")
     assert out.count() == 90000
+    assert _is_split(out)
+
+
+def test_popular_rows_are_resolved_once_and_not_shuffled(spark, skew_conf):
+    from reelrank.operators.feeds import resolve_feed
+
+    popular = spark.createDataFrame([(1, 5), (2, 6), (3, 7)], "rank int, movieId long")
+    feed = _hot_feed(spark, "popular")
+    out = resolve_feed(feed, _hot_links(spark), "userId", popular)
+    plain = resolve_feed(feed, _hot_links(spark), "userId")
+    assert out.exceptAll(plain).count() == 0 and out.count() == 90000
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "skew=true" in plan or "isSkew=true" in plan or "AQEShuffleRead skewed" in plan
+    own, _, shown = plan.partition("Union")[2].partition("Generate explode")
+    assert shown and "Exchange hashpartitioning" not in shown.split("Subquery")[0]
