@@ -44,6 +44,7 @@ MAX_TOKENS = 300_000     # words of the training windows
 WINDOW = 64
 SPAN_AT = 0.5
 GROUP_WORDS = 150_000    # words scored together
+SLICE_ROWS = 500         # documents of a batch scored at a time
 CACHE = 300_000
 
 WORD = re.compile(r"[^\W_]+")
@@ -240,14 +241,15 @@ class Tagger:
         if self.model is None:
             return [self.share] * len(texts), [[] for _ in texts]
         scores, spans, a = [], [], 0
-        split = [words_of(t) for t in texts]
         while a < len(texts):
-            b, n = a, 0
-            while b < len(texts) and (b == a or n + len(split[b]) <= GROUP_WORDS):
-                n += len(split[b])
+            # texts are split as their group is formed: the words of one group are held at a time
+            b, n, split = a, 0, []
+            while b < len(texts) and (b == a or n < GROUP_WORDS):
+                split.append(words_of(texts[b]))
+                n += len(split[-1])
                 b += 1
-            post = self.marginals(split[a:b])
-            lengths = np.array([len(d) for d in split[a:b]])
+            post = self.marginals(split)
+            lengths = np.array([len(d) for d in split])
             z = summaries(post, lengths) @ self.model[3]
             scores.extend((1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist())
             ends = np.cumsum(lengths)
@@ -314,8 +316,10 @@ def score_documents(docs: DataFrame, tagger: Tagger) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tag = Tagger(*bc.value)
         for batch in batches:
-            scores, spans = tag.score(batch["text"].tolist())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": scores, "spans": spans})
+            for i in range(0, len(batch), SLICE_ROWS):
+                some = batch.iloc[i:i + SLICE_ROWS]
+                scores, spans = tag.score(some["text"].tolist())
+                yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy(), "score": scores, "spans": spans})
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, SCORED)
 
 
@@ -329,6 +333,8 @@ def keep_clean(docs: DataFrame, tagger: Tagger, below: float = 0.5) -> DataFrame
 
         tag = Tagger(*bc.value)
         for batch in batches:
-            scores, _ = tag.score(batch.column(at).to_pylist())
-            yield batch.filter(pa.array([s < below for s in scores], pa.bool_()))
+            for i in range(0, batch.num_rows, SLICE_ROWS):
+                some = batch.slice(i, SLICE_ROWS)
+                scores, _ = tag.score(some.column(at).to_pylist())
+                yield some.filter(pa.array([s < below for s in scores], pa.bool_()))
     return docs.mapInArrow(run, docs.schema)
