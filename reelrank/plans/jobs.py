@@ -7,8 +7,8 @@
     precompute_user_lists
                     model + users -> JSON-lines cache of gated lists
 
-Each job is gated on its outputs' ``_SUCCESS`` markers (``force=True``
-rebuilds) and lets errors propagate.  Later stages read the written tables,
+Each job is gated on a commit record of its outputs, written last (``force=True``
+rebuilds), and lets errors propagate.  Later stages read the written tables,
 so every job boundary also cuts lineage on shared storage.
 """
 
@@ -35,6 +35,10 @@ class Layout:
     def _p(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
 
+    def record(self, job: str) -> str:
+        """Commit record of a job's outputs."""
+        return self._p(f"commits/{job}")
+
     @property
     def baskets(self) -> str:
         return self._p("processed/baskets")
@@ -76,10 +80,6 @@ class Layout:
         return self._p("cache/user_recommendations")
 
 
-def _done(spark: SparkSession, *paths: str) -> bool:
-    return all(sinks.has_success_marker(spark, p) for p in paths)
-
-
 def preprocess(spark: SparkSession, ratings_csv: str, movies_csv: str, layout: Layout,
                force: bool = False, min_user: int = ratings.MIN_USER_RATINGS,
                min_item: int = ratings.MIN_MOVIE_RATINGS,
@@ -88,8 +88,14 @@ def preprocess(spark: SparkSession, ratings_csv: str, movies_csv: str, layout: L
     """Clean ratings once, then write the per-user title baskets and the ALS
     input.  Returns {"skipped": bool, "clean_rows": int | None}; the row count
     is observed while the tables are written, not by an extra job."""
-    if not force and _done(spark, layout.baskets, layout.als_input):
-        return {"skipped": True, "clean_rows": None}
+    seen = {"skipped": True, "clean_rows": None}
+    outputs = [layout.baskets, layout.als_input]
+    sinks.commit_job(spark, layout.record("preprocess"), outputs, lambda: seen.update(
+        skipped=False, clean_rows=_preprocess(spark, ratings_csv, movies_csv, layout, min_user, min_item, min_rating, mode, cap)), force)
+    return seen
+
+
+def _preprocess(spark, ratings_csv, movies_csv, layout, min_user, min_item, min_rating, mode, cap) -> int:
     raw = files.read_ratings_csv(spark, ratings_csv)
     movies = files.read_movies_csv(spark, movies_csv)
     obs = Observation("clean_ratings")
@@ -103,7 +109,7 @@ def preprocess(spark: SparkSession, ratings_csv: str, movies_csv: str, layout: L
         sinks.write_table(clean.select("userId", "movieId", "rating"), layout.als_input)
     finally:
         clean.unpersist()
-    return {"skipped": False, "clean_rows": obs.get["rows"]}
+    return obs.get["rows"]
 
 
 def train_rules(spark: SparkSession, movies_csv: str, layout: Layout, force: bool = False,
@@ -111,8 +117,13 @@ def train_rules(spark: SparkSession, movies_csv: str, layout: Layout, force: boo
                 min_confidence: float = rules.MIN_CONFIDENCE, top_k: int = 10) -> dict:
     """Mine rules from the baskets; write them (an empty table when none are
     found, so readers keep a schema) and the related-film index keyed by id."""
-    if not force and _done(spark, layout.rules, layout.related):
-        return {"skipped": True, "rules": None}
+    seen = {"skipped": True, "rules": None}
+    sinks.commit_job(spark, layout.record("rules"), [layout.rules, layout.related], lambda: seen.update(
+        skipped=False, rules=_train_rules(spark, movies_csv, layout, min_support, min_confidence, top_k)), force)
+    return seen
+
+
+def _train_rules(spark, movies_csv, layout, min_support, min_confidence, top_k) -> int:
     tx = files.read_table(spark, layout.baskets)
     model = rules.mine_rules(tx, min_support, min_confidence)
     found = rules.association_rules(model).persist(StorageLevel.MEMORY_AND_DISK)
@@ -121,11 +132,10 @@ def train_rules(spark: SparkSession, movies_csv: str, layout: Layout, force: boo
         written = files.read_table(spark, layout.rules)
         labels = baskets.title_items(files.read_movies_csv(spark, movies_csv))
         sinks.write_table(rules.related_index(written, labels, top_k), layout.related)
-        n = written.count()
+        return written.count()
     finally:
         found.unpersist()
         model.freqItemsets.unpersist()
-    return {"skipped": False, "rules": n}
 
 
 def _next_index(spark: SparkSession, path: str, data: DataFrame, col: str) -> DataFrame:
@@ -145,9 +155,12 @@ def train_als(spark: SparkSession, layout: Layout, force: bool = False, k: int =
     Ids are 64-bit and Spark ML's are 32-bit: the model is fitted on the numbers
     of two dictionaries, which are written first and grow with new ids, so a
     number never changes its meaning between runs."""
-    if not force and _done(spark, layout.als_recs, layout.user_index, layout.movie_index) and sinks.has_success_marker(
-            spark, layout.als_model + "/metadata"):
-        return {"skipped": True}
+    outputs = [layout.als_recs, layout.user_index, layout.movie_index, layout.als_model + "/metadata"]
+    built = sinks.commit_job(spark, layout.record("als"), outputs, lambda: _train_als(spark, layout, k, params), force)
+    return {"skipped": not built}
+
+
+def _train_als(spark: SparkSession, layout: Layout, k: int, params: dict) -> None:
     data = files.read_table(spark, layout.als_input)
     users = _next_index(spark, layout.user_index, data, "userId")
     movies = _next_index(spark, layout.movie_index, data, "movieId")
@@ -157,7 +170,6 @@ def train_als(spark: SparkSession, layout: Layout, force: bool = False, k: int =
     sinks.save_model(model, layout.als_model)
     cands = _original_ids(als.candidate_rows(model, None, k), users, movies)
     sinks.write_table(cands.groupBy("userId").agg(ordered_list("movieId", "pos").alias("recommendations")), layout.als_recs)
-    return {"skipped": False}
 
 
 def _original_ids(cands: DataFrame, users: DataFrame, movies: DataFrame) -> DataFrame:
@@ -179,7 +191,7 @@ def precompute_user_lists(spark: SparkSession, users: DataFrame, ratings_csv: st
                           layout: Layout, top_k: int = als.PRECOMPUTE_TOP_K,
                           min_votes: int = als.GATE_MIN_VOTES, force: bool = False) -> dict:
     """Gated ALS lists for the given users as a JSON-lines cache."""
-    if not force and _done(spark, layout.user_cache):
+    if not force and sinks.has_success_marker(spark, layout.user_cache):
         return {"skipped": True}
     model = files.load_als_model(layout.als_model)
     user_index, movie_index = files.read_table(spark, layout.user_index), files.read_table(spark, layout.movie_index)

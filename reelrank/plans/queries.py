@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelrank import schemas
-from reelrank.operators import als, baskets, feeds, indexing, popular, ratings, rules, scoring, search
+from reelrank.operators import als, baskets, feeds, indexing, itemsets, popular, ratings, rules, scoring, search
 from reelrank.functions.lists import ordered_list
+from reelrank.plans import jobs
 from reelrank.plans.present import present
 from reelrank.session import scratch_path
 from reelrank.sources import files, sinks
@@ -154,6 +155,56 @@ def q_popular_json_roundtrip(spark, sf):
     return present(files.read_popular_json(spark, path))
 
 
+@query("materialized_steps")
+def q_materialized_steps(spark, sf):
+    """A table written if absent, found complete (the other build isn't run), and rebuilt by force: its rows after each step."""
+    path = scratch_path(spark, "materialized")
+    by_film, by_user = ratings.movie_rating_counts(_ratings(spark, sf)), ratings.user_rating_counts(_ratings(spark, sf))
+    built = lambda df: df.toDF("id", "n")
+    steps = []
+    for step, df, force in (("written", by_film, False), ("kept", by_user, False), ("forced", by_user, True)):
+        seen = sinks.materialize(spark, path, lambda df=df: built(df), force, files=1)
+        copy = scratch_path(spark, f"materialized-{step}")  # the next step may replace what it reads
+        sinks.write_table(seen.select(F.lit(step).alias("step"), "id", "n", F.lit(len(seen.inputFiles())).alias("files")), copy)
+        steps.append(spark.read.parquet(copy))
+    return steps[0].unionByName(steps[1]).unionByName(steps[2])
+
+
+@query("job_outputs")
+def q_job_outputs(spark, sf):
+    """The preprocessing and rule jobs from CSV: run, skipped, forced, and a support that no rule reaches (typed empty tables)."""
+    root = scratch_path(spark, "jobs")
+    r, m = f"{root}/ratings", f"{root}/movies"
+    sinks.write_csv(_ratings(spark, sf), r)
+    sinks.write_csv(tv.movies(spark, sf), m)
+    lay = jobs.Layout(f"{root}/out")
+    done = [("preprocess", jobs.preprocess(spark, r, m, lay)), ("preprocess again", jobs.preprocess(spark, r, m, lay)),
+            ("preprocess forced", jobs.preprocess(spark, r, m, lay, force=True)),
+            ("rules", jobs.train_rules(spark, m, lay, min_support=1.0)), ("rules again", jobs.train_rules(spark, m, lay))]
+    ran = spark.createDataFrame([(k, v["skipped"], v.get("clean_rows", v.get("rules"))) for k, v in done], "step string, skipped boolean, n long")
+    tables = [("table baskets", lay.baskets), ("table als_input", lay.als_input), ("table rules", lay.rules), ("table related", lay.related)]
+    for name, path in tables:
+        ran = ran.unionByName(files.read_table(spark, path).agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit(name).alias("step"), F.lit(None).cast("boolean").alias("skipped"), "n"))
+    return ran
+
+
+@query("als_model_roundtrip")
+def q_als_model_roundtrip(spark, sf):
+    """The fitted model saved and loaded: its predictions for every clean rating, and for pairs of unknown ids (dropped),
+    against the products of the factors of the model in memory."""
+    model, path = _als_model(spark, sf), scratch_path(spark, "als-model")
+    sinks.save_model(model, path)
+    clean = _clean(spark, sf)
+    asked = clean.select("userId", "movieId").unionByName(clean.select((-1 - F.col("userId")).alias("userId"), "movieId"))
+    loaded = files.load_als_model(path).setColdStartStrategy("drop").transform(asked)
+    here = scoring.predict_pairs(asked, model.userFactors, model.itemFactors)
+    rows = loaded.select(F.col("userId").cast("long").alias("userId"), F.col("movieId").cast("long").alias("movieId"),
+                         F.col("prediction").alias("loaded")).join(here, ["userId", "movieId"], "full")
+    return rows.groupBy("userId").agg(F.count(F.lit(1)).alias("n"), F.bool_and(
+        F.coalesce(F.abs(F.col("loaded") - F.col("prediction")) < 1e-4, F.lit(False))).alias("same"))
+
+
 # ---------------------------------------------------------------- 3.x projections and filters
 
 @query("clean_titles")
@@ -372,6 +423,13 @@ def q_frequent_itemsets(spark, sf):
     return present(fi, sorted_arrays=("items",))
 
 
+@query("frequent_itemsets_by_parts")
+def q_frequent_itemsets_by_parts(spark, sf):
+    """The same itemsets by two passes over parts of 200 baskets (several parts on these tables)."""
+    fi = itemsets.frequent_itemsets_by_parts(_brand_baskets(spark, sf), RULES_SUPPORT, part_rows=200, block_sets=100)
+    return present(fi, sorted_arrays=("items",))
+
+
 @query("association_rules")
 def q_association_rules(spark, sf):
     return present(_rules(spark, sf, RULES_SUPPORT), sorted_arrays=("antecedent", "consequent"))
@@ -571,6 +629,17 @@ def q_user_feed(spark, sf):
     return feeds.resolve_feed(feed, tv.links(spark, sf), "userId", top)
 
 
+@query("user_feed_computed")
+def q_user_feed_computed(spark, sf):
+    """The user feed of every customer over tables that the scoring and gate
+    operators made: cached gated lists for als.PRECOMPUTE_USERS, top lists for all
+    users with ratings, the popular list for the others."""
+    cached = als.precompute_users(als.gated_lists(_profile_gated(spark, sf, als.PRECOMPUTE_TOP_K)))
+    top_lists = _profile_candidates(spark, sf, als.RECS_PER_USER).groupBy("userId").agg(ordered_list("movieId", "rank").alias("items"))
+    users, top = tv.table(spark, sf, "customer").select(F.col("c_custkey").alias("userId")), _popular(spark, sf, 20, 3)
+    return feeds.resolve_feed(feeds.user_feed(users, cached, top_lists, top), tv.links(spark, sf), "userId", top)
+
+
 @query("movie_feed")
 def q_movie_feed(spark, sf):
     top = _popular(spark, sf, 20, 5)
