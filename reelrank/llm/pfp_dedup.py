@@ -232,30 +232,37 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     entries = scratch.save(phrases.groupBy("key", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one")))
     twice = entries.filter("n > 1").select("key", "phrase")
     size = F.col("place").bitwiseAND(0xFFFF)
-    whole = phrases.join(twice, ["key", "phrase"]).select(
-        "row", (F.shiftright("place", 16) * (1 << 24) + size + (length - 1)).alias("place"))
+    span = (F.shiftright("place", 16) * (1 << 24) + size + (length - 1)).alias("place")
+    whole = scratch.save(phrases.join(twice, ["key", "phrase"]).select("row", span))
+    scratch.drop(phrases)
     # 3. phrases that occur once in a context that others share: by pieces, then by single windows
     shared = entries.groupBy("key").agg(F.count("*").alias("phrases"), F.min("n").alias("least")).filter("phrases > 1 and least = 1").select("key")
-    ask = entries.join(shared, "key").select("one.row", "one.place", (F.col("n") == 1).alias("alone"))
-    pieces = scratch.save(_asked(texts, ask, scratch).mapInArrow(_pieces(length, STEP), PIECES))
+    asked = scratch.save(_by_row(entries.join(shared, "key").select("one.row", "one.place", (F.col("n") == 1).alias("alone"))))
+    scratch.drop(entries)
+    pieces = scratch.save(_joined(texts, asked, "inner").mapInArrow(_pieces(length, STEP), PIECES))
+    scratch.drop(asked)
     found = scratch.save(pieces.groupBy("core", "whole").agg(F.count("*").alias("n"), F.max("alone").alias("alone"),
                                                             F.min(F.struct("row", "place")).alias("one")))
-    span = (F.shiftright("place", 16) * (1 << 24) + size + (length - 1)).alias("place")
-    twice = pieces.filter("alone").join(found.filter("n > 1 and alone").select("core", "whole"), ["core", "whole"], "left_semi") \
-        .select("row", span)
+    twice = scratch.save(pieces.filter("alone").join(found.filter("n > 1 and alone").select("core", "whole"), ["core", "whole"], "left_semi")
+                         .select("row", span))
+    scratch.drop(pieces)
     undecided = found.withColumn("alone", F.col("alone") & (F.col("n") == 1))
     cores = undecided.groupBy("core").agg(F.count("*").alias("wholes"), F.max("alone").alias("open")).filter("wholes > 1 and open").select("core")
-    ask = undecided.join(cores, "core").select("one.row", "one.place", "alone")
-    windows = scratch.save(_asked(texts, ask, scratch).mapInArrow(_pieces(length, 1), PIECES).drop("whole"))
+    asked = scratch.save(_by_row(undecided.join(cores, "core").select("one.row", "one.place", "alone")))
+    scratch.drop(found)
+    windows = scratch.save(_joined(texts, asked, "inner").mapInArrow(_pieces(length, 1), PIECES).drop("whole"))
+    scratch.drop(asked)
     again = windows.groupBy("core").agg(F.count("*").alias("n"), F.max("alone").alias("any")).filter("n > 1 and any")
     parts = windows.filter("alone").join(again.select("core"), "core", "left_semi").select("row", span)
-    return scratch.save(whole.unionByName(twice).unionByName(parts).groupBy("row").agg(F.collect_list("place").alias("places")))
+    places = scratch.save(whole.unionByName(twice).unionByName(parts).groupBy("row").agg(F.collect_list("place").alias("places")))
+    scratch.drop(windows, whole, twice)
+    return places
 
 
-def _asked(texts: DataFrame, ask: DataFrame, scratch: Scratch) -> DataFrame:
-    """texts of the rows in ask (row, place, alone), with their places."""
+def _by_row(ask: DataFrame) -> DataFrame:
+    """ask (row, place, alone) as lists by row."""
     by_row = ask.groupBy("row").agg(F.collect_list(F.struct("place", "alone")).alias("l"))
-    return _joined(texts, scratch.save(by_row.select("row", F.col("l.place").alias("places"), F.col("l.alone").alias("alone"))), "inner")
+    return by_row.select("row", F.col("l.place").alias("places"), F.col("l.alone").alias("alone"))
 
 
 def _unpack(places) -> list[tuple[int, int]]:
