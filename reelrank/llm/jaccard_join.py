@@ -12,11 +12,15 @@ and only classes are joined.  With similarity s and a set of n tokens,
   80 percent on, the union is long enough for that but in one case: sets of 4
   and 5 tokens.  Sets of up to 5 tokens are indexed by runs of k - 1 besides.
 
-Prefix tokens held by up to ``RARE`` classes are indexed singly.  Classes with
-a more frequent token in their prefix are indexed by all runs of ``K`` tokens
-of their extended prefix besides.  If one of two linked classes has no
-frequent prefix token, the token they share is rare; otherwise both are in the
-run index: no link is missed.
+Prefix tokens held by up to ``RARE`` classes are indexed singly.  If one of two
+linked classes has no frequent prefix token, the token they share is rare;
+otherwise both are among the classes with a frequent prefix token, which are
+indexed again in another order: rare tokens first, by counts of their tokens in
+``SLOTS`` counters (any order is right, so counters may be shared).  There a
+passage that unrelated texts share comes last and leaves their prefixes.  Again
+rare prefix tokens are indexed singly, and only classes that still have a
+frequent one (texts made of frequent tokens almost wholly) are indexed by all
+runs of ``K`` tokens of their extended prefix: no link is missed.
 
 Buckets are joined in two rounds.  First every member is compared with its
 bucket's hub only (the class with most copies, then the smallest id), and the
@@ -52,6 +56,7 @@ PERCENT = 85
 K = 3
 SHORT = 5
 RARE = 48
+SLOTS = 1 << 22  # counters for the second order; a byte each is broadcast
 BLOCK = 512
 BROADCAST_IDS = 500_000  # id tables of up to so many rows are broadcast to the documents, larger ones joined by shuffle
 CACHE = 400_000
@@ -137,14 +142,54 @@ def _run_keys(tokens: np.ndarray, width: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _runs(percent: int, shingle: int):
+def _slot_counts(shingle: int):
+    def run(batches):
+        s, total = Shingler(shingle), np.zeros(SLOTS, np.int64)
+        for b in _text_batches(batches):
+            for t in b.column("text").to_pylist():
+                np.add.at(total, s.tokens(t) & (SLOTS - 1), 1)
+        at = np.flatnonzero(total)
+        for i in range(0, len(at), 1 << 16):
+            some = at[i:i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["slot", "n"])
+    return run
+
+
+def _levels(texts: DataFrame, shingle: int) -> np.ndarray:
+    """How frequent each counter's tokens are: 0 up to RARE, then one more with every doubling."""
+    counts = texts.select("text").mapInArrow(_slot_counts(shingle), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    often = counts.filter(F.col("n") > RARE).select("slot", (F.floor(F.log2(F.col("n") / RARE)) + 1).cast("byte").alias("level")).toPandas()
+    out = np.zeros(SLOTS, np.uint8)
+    out[often["slot"].to_numpy(np.int64)] = often["level"].to_numpy(np.uint8)
+    return out
+
+
+def rarest_first(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    return tokens[np.argsort(levels[tokens & (len(levels) - 1)], kind="stable")]
+
+
+def _prefixes(percent: int, shingle: int, levels):
+    def run(batches):
+        s = Shingler(shingle)
+        for b in _text_batches(batches):
+            sets = [s.tokens(t) for t in b.column("text").to_pylist()]
+            keys = [rarest_first(a, levels.value)[:prefix_length(len(a), percent)] if len(a) else a for a in sets]
+            size = [len(k) for k in keys]
+            rep = lambda v: pa.array(np.repeat(np.array(v, np.int64), size), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(keys) if keys else [], pa.int64()), rep(b.column("doc_id").to_pylist()), rep([len(a) for a in sets])],
+                names=["key", "cid", "n"])
+    return run
+
+
+def _runs(percent: int, shingle: int, levels):
     def run(batches):
         s = Shingler(shingle)
         for b in _text_batches(batches):
             sets = [s.tokens(t) for t in b.column("text").to_pylist()]
             keys = []
             for a in sets:
-                a = a[:run_length(len(a), K, percent)].view(np.uint64)
+                a = rarest_first(a, levels.value)[:run_length(len(a), K, percent)].view(np.uint64)
                 keys.append(np.concatenate([_run_keys(a, w) for w in ((K, K - 1) if len(a) <= SHORT else (K,))]))
             size = [len(k) for k in keys]
             rep = lambda v: pa.array(np.repeat(np.array(v, np.int64), size), pa.int64())
@@ -241,15 +286,21 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = S
     shared = scratch.save(post.join(held, "key"))
     rare = shared.filter(F.col("m") <= RARE).select(F.lit(1).alias("kind"), "key", "cid", "n", "copies")
     frequent = scratch.save(shared.filter(F.col("m") > RARE).groupBy("cid").agg(F.count("*").alias("f"), F.first("copies").alias("copies")))
-    # Runs of K tokens for the classes with frequent prefix tokens.
-    n_frequent = frequent.count()
-    texts = _of_ids(docs, frequent.select(F.col("cid").alias("doc_id")), n_frequent).select("doc_id", "text")
-    runs = texts.mapInArrow(_runs(percent, shingle), "key long, cid long, n long")
-    held2 = scratch.save(runs.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"))
-    run_rows = runs.join(held2.select("key"), "key").join(frequent.select("cid", "copies"), "cid") \
-        .select(F.lit(2).alias("kind"), "key", "cid", "n", "copies")
-    buckets = scratch.save(rare.unionByName(run_rows))
-    scratch.drop(shared, held, held2)
+    # The classes with frequent prefix tokens again, rarest tokens first.
+    texts = _of_ids(docs, frequent.select(F.col("cid").alias("doc_id")), frequent.count()).select("doc_id", "text")
+    levels = docs.sparkSession.sparkContext.broadcast(_levels(texts, shingle))
+    post2 = scratch.save(texts.mapInArrow(_prefixes(percent, shingle, levels), "key long, cid long, n long"))
+    held2 = scratch.save(post2.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"))
+    shared2 = scratch.save(post2.join(held2, "key").distinct().join(frequent.select("cid", "copies"), "cid"))
+    again = shared2.filter(F.col("m") <= RARE).select(F.lit(3).alias("kind"), "key", "cid", "n", "copies")
+    deep = scratch.save(shared2.filter(F.col("m") > RARE).groupBy("cid").agg(F.count("*").alias("f"), F.first("copies").alias("copies")))
+    # Runs of K tokens for those that still have some.
+    texts = _of_ids(docs, deep.select(F.col("cid").alias("doc_id")), deep.count()).select("doc_id", "text")
+    runs = scratch.save(texts.mapInArrow(_runs(percent, shingle, levels), "key long, cid long, n long"))
+    held3 = runs.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
+    run_rows = runs.join(held3, "key").join(deep.select("cid", "copies"), "cid").select(F.lit(2).alias("kind"), "key", "cid", "n", "copies")
+    buckets = scratch.save(rare.unionByName(again).unionByName(run_rows))
+    scratch.drop(shared, held, post2, held2, shared2, runs)
 
     # Round 1: members against hubs; of a class's hubs, the two that it meets in most buckets.
     hubs = scratch.save(buckets.groupBy("kind", "key").agg(
@@ -271,12 +322,14 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = S
     open_ = scratch.save(marked.join(mixed, ["kind", "key"]))
     scratch.drop(buckets, marked, mixed, hubs)
 
-    single = open_.filter("kind = 1").join(frequent.select("cid", "f"), "cid", "left").fillna(0, ["f"])
-    x = single.select("key", *[F.col(c).alias(f"{c}_x") for c in ("cid", "n", "component", "f")])
-    y = single.select("key", *[F.col(c).alias(f"{c}_y") for c in ("cid", "n", "component", "f")])
-    # two classes that both have frequent prefix tokens are in the run index
-    across = x.join(y, "key").filter((F.col("cid_x") < F.col("cid_y")) & (F.col("component_x") != F.col("component_y"))
-                                     & ((F.col("f_x") == 0) | (F.col("f_y") == 0)) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")))
+    often = frequent.select(F.lit(1).alias("kind"), "cid", "f").unionByName(deep.select(F.lit(3).alias("kind"), "cid", "f"))
+    single = open_.filter("kind != 2").join(often, ["kind", "cid"], "left").fillna(0, ["f"])
+    x = single.select("kind", "key", *[F.col(c).alias(f"{c}_x") for c in ("cid", "n", "component", "f")])
+    y = single.select("kind", "key", *[F.col(c).alias(f"{c}_y") for c in ("cid", "n", "component", "f")])
+    # two classes that both have frequent prefix tokens are in the next index
+    across = x.join(y, ["kind", "key"]).filter((F.col("cid_x") < F.col("cid_y")) & (F.col("component_x") != F.col("component_y"))
+                                               & ((F.col("f_x") == 0) | (F.col("f_y") == 0))
+                                               & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")))
     # prefixes that share c tokens, all of them rare, leave room for c + rest in common
     rest = lambda n: F.col(n) - (F.col(n) - F.floor((percent * F.col(n) + 99) / 100) + 1)
     enough = (F.col("c") + F.greatest(rest("n_x"), rest("n_y"))

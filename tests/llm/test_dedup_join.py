@@ -100,6 +100,24 @@ def test_components_match_brute_force(make, monkeypatch, rare, percent, shingle)
     assert got == components_by_force(rows, percent, shingle)
 
 
+@pytest.mark.parametrize("percent,shingle", [(85, 4), (80, 5)])
+def test_a_shared_passage_makes_no_family(make, monkeypatch, percent, shingle):
+    """Unrelated texts with one passage in common leave each other's prefixes once rare tokens come first."""
+    def never(_):
+        def fail(rows):
+            raise AssertionError("whole sets were compared in blocks")
+        return fail
+
+    monkeypatch.setattr(jaccard_join, "_spanning", never)
+    rng = random.Random(1)
+    passage = words(rng, 30)
+    rows = [(i, " ".join(words(rng, 40, 10 ** 6) + passage + words(rng, 40, 10 ** 6))) for i in range(300)]
+    rows.append((1000, rows[7][1] + " end"))
+    got = sorted(tuple(r) for r in jaccard_join.jaccard_components(make(rows), percent, shingle).collect())
+    assert got == components_by_force(rows, percent, shingle)
+    assert got[-1][2] == 7
+
+
 @pytest.mark.parametrize("percent", [80, 85, 95])
 def test_linked_sets_share_a_run(percent):
     """Any two linked sets, whatever tokens they do not share, have a key of the run index in common."""
