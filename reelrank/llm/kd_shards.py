@@ -8,10 +8,12 @@ hash inside the slice that the median falls into.  Only such sums (at most
 ``BINS`` rows a node) are windowed; documents never meet in one task.
 
 What is placed is a *unit*: all rows with one text, so that copies share a
-shard.  A text holding more than 1/``GRAIN`` of a shard's bytes is spread by
-``doc_id`` over several units, because it could not be balanced otherwise.
+shard.  Only a text holding more than 1/``HEAVY`` of a shard's bytes, which the
+byte law could not place whole, is spread by ``doc_id`` over units of about
+1/``GRAIN`` of a shard.
 
-Defined cases: a null text counts no byte (plus one), like an empty one, and
+Defined cases: documents level with a cut are told apart by a hash of their
+unit, and those level in that too stay together; a null text counts no byte (plus one), like an empty one, and
 both are one text; null metadata has the coordinate 0; an empty table gives an
 empty result; repeated rows are placed like any others.  Columns other than
 the named ones are ignored.
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 from reelrank.llm.store import Scratch, text_or_empty
 
 BINS = 4096       # slices of a dimension, and of the hash inside one slice
-GRAIN = 64        # a unit holds at most about 1/GRAIN of a shard's bytes
+HEAVY = 8         # a text of up to 1/HEAVY of a shard's bytes stays together
+GRAIN = 64        # a heavier one is spread over units of about 1/GRAIN of a shard's bytes
 SLOT_ROWS = 20_000  # rows numbered together when slots are given
 AXES = 4
 
@@ -82,12 +85,16 @@ def _split(units: DataFrame, nodes: DataFrame) -> DataFrame:
     return moved.select(*units.columns).unionByName(done)
 
 
-def _next_nodes(nodes: DataFrame) -> DataFrame:
-    left = F.floor(F.col("leaves") / 2).cast("int")
-    wide = nodes.filter("leaves > 1")
-    return nodes.filter("leaves = 1").unionByName(
-        wide.select("node", left.alias("leaves"))).unionByName(
-        wide.select((F.col("node") + left).cast("int").alias("node"), (F.col("leaves") - left).cast("int").alias("leaves")))
+def _halves(nodes: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The nodes of the next level: (first leaf, leaves).  They follow from the number of shards alone."""
+    return [h for node, n in nodes for h in ([(node, n)] if n == 1 else [(node, n // 2), (node + n // 2, n - n // 2)])]
+
+
+def _node_table(spark, nodes: list[tuple[int, int]]) -> DataFrame:
+    """(node, leaves) from one literal, so that the plan is as small at every level."""
+    each = spark.range(1).select(F.explode(F.split(F.lit(",".join(f"{a}:{n}" for a, n in nodes)), ",")).alias("p"))
+    part = lambda i: F.split("p", ":")[i].cast("int")
+    return each.select(part(0).alias("node"), part(1).alias("leaves"))
 
 
 def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
@@ -112,8 +119,8 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
     shards = n_shards or max(1, -(-total // target_bytes))
     grain = max(1, total // (shards * GRAIN))
 
-    # Fewer than shards * GRAIN texts can be heavier than one grain: a bounded table.
-    heavy = rows.groupBy("grp").agg(F.sum("size").alias("b")).filter(F.col("b") > grain).select(
+    # Fewer than shards * HEAVY texts can be that heavy: a bounded table.
+    heavy = rows.groupBy("grp").agg(F.sum("size").alias("b")).filter(F.col("b") * shards * HEAVY > total).select(
         "grp", F.ceil(F.col("b") / grain).alias("parts"))
     rows = rows.join(F.broadcast(heavy), "grp", "left").withColumn(
         "salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0)).cast("long")).drop("parts")
@@ -126,12 +133,11 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
         F.sum("size").alias("bytes"), F.min("x0").alias("x0"), F.min("x1").alias("x1"),
         scaled("x2").alias("x2"), scaled("x3").alias("x3")).withColumn(
         "tie", F.pmod(F.xxhash64(F.lit(17), "grp", "salt"), F.lit(BINS)).cast("int")).withColumn("node", F.lit(0)))
-    nodes = spark.range(1).select(F.lit(0).alias("node"), F.lit(int(shards)).alias("leaves"))
-    level = 1
-    while level < shards:  # as many levels as the larger half needs
-        before, units = units, scratch.save(_split(units, nodes))
+    nodes = [(0, int(shards))]
+    while len(nodes) < shards:
+        before, units = units, scratch.save(_split(units, _node_table(spark, nodes)))
         scratch.drop(before)
-        nodes, level = _next_nodes(nodes), level * 2
+        nodes = _halves(nodes)
 
     placed = rows.select("doc_id", "size", "text_crc32", "grp", "salt").join(
         units.select("grp", "salt", F.col("node").alias("shard")), ["grp", "salt"])

@@ -71,6 +71,30 @@ def test_shards_are_balanced_and_slots_gapless(make, empty):
     assert one.select("shard").distinct().count() == 1
 
 
+def test_equal_texts_stay_together_unless_too_heavy(make):
+    rows = [(i, f"{i} " + "x" * (i * 37 % 900)) for i in range(2000)] + [(3000 + i, "some copy " * 60) for i in range(15)]
+    rows += [(4000 + i, "heavy " * 50) for i in range(500)] + [(5000, "long " * 3000)] * 2
+    placed = kd_shards.kd_shards(make(rows), n_shards=8).toPandas()
+    shard = placed["size"].sum() / 8
+    groups = placed.groupby("text_crc32").agg(size=("size", "sum"), shards=("shard", "nunique"))
+    assert (groups[groups["size"] <= shard / kd_shards.HEAVY]["shards"] == 1).all()
+    assert (groups["size"] > shard / 64).sum() > (groups["shards"] > 1).sum() >= 1
+    assert placed.groupby("shard")["size"].sum().max() < 1.1 * shard
+
+
+def test_plan_of_a_level_does_not_grow(spark):
+    nodes = [(0, 4096)]
+    units = spark.range(1).selectExpr("id as grp", "id as salt", "1L as bytes", "0D as x0", "0D as x1", "0D as x2", "0D as x3", "0 as tie", "0 as node")
+    sizes = []
+    while len(nodes) < 4096:
+        plan = kd_shards._split(units, kd_shards._node_table(spark, nodes))._jdf.queryExecution().analyzed().toString()
+        sizes.append(plan.count("Range ("))
+        nodes = kd_shards._halves(nodes)
+    assert len(sizes) == 12 and len(set(sizes)) == 1
+    assert nodes == [(i, 1) for i in range(4096)]
+    assert kd_shards._halves([(0, 5)]) == [(0, 2), (2, 3)]
+
+
 # ---------------------------------------------------------------- token files
 
 @given(st.lists(st.integers(0, 2 ** 40), max_size=300))
