@@ -279,9 +279,16 @@ def removal_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """docs, all columns, without those that a benchmark window occurs in."""
     at = docs.columns.index("text")
-    for bc in _slices(benchmark, window, slice_bytes):
-        docs = docs.mapInArrow(_without_hits(bc, at), docs.schema)
-    return docs
+    *more, last = _slices(benchmark, window, slice_bytes)
+    scratch = Scratch(docs.sparkSession, "clean") if more else None
+    saved = None
+    for bc in more:  # written between slices, so that a task holds one of them
+        before, saved = saved, scratch.save(docs.mapInArrow(_without_hits(bc, at), docs.schema))
+        bc.unpersist()
+        if before is not None:
+            scratch.drop(before)
+        docs = saved
+    return docs.mapInArrow(_without_hits(last, at), docs.schema)
 
 
 def items_sha256(ids: F.Column) -> F.Column:

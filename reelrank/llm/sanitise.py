@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -179,13 +180,16 @@ def disclosing_terms(docs: DataFrame, scratch: Scratch, slice_size: int = SLICE)
     pairs = held.select("entity", F.explode("terms").alias("term"), "n").groupBy("entity", "term").agg(
         F.sum("n").alias("n_te"), F.count("*").alias("texts")).filter(F.col("texts") >= MIN_TEXTS)
     pairs = scratch.save(pairs.select("entity", "term", "n_te"))
-    counts = None
+    parts, bc = [], None
     for hashes in _slices(pairs, "term", slice_size):
+        if bc is not None:  # written between slices, so that a task holds one of them
+            parts[-1] = scratch.save(parts[-1])
+            bc.unpersist()
         bc = docs.sparkSession.sparkContext.broadcast(hashes)
-        part = text.mapInPandas(_count_rows(bc), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
-        counts = part if counts is None else counts.unionByName(part)
-    if counts is None:
+        parts.append(text.mapInPandas(_count_rows(bc), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t")))
+    if not parts:
         return docs.sparkSession.createDataFrame([], "term long, npmi double")
+    counts = reduce(DataFrame.unionByName, parts)
     rows = pairs.join(counts, "term").join(entities, "entity")
     pmi = F.log(F.lit(float(n_docs)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     most = F.log(F.lit(float(n_docs)) / F.col("n_te"))
@@ -233,8 +237,14 @@ def find_spans(docs: DataFrame, slice_size: int = SLICE) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "sanitise")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     terms = disclosing_terms(rows, scratch, slice_size)
-    out = rows.mapInPandas(_find, SPANS)
+    out, saved, bc = rows.mapInPandas(_find, SPANS), None, None
     for hashes in _slices(terms, "term", slice_size):
+        if bc is not None:  # written between slices, so that a task holds one of them
+            before, saved = saved, scratch.save(out)
+            bc.unpersist()
+            if before is not None:
+                scratch.drop(before)
+            out = saved
         removed = terms.filter(F.col("npmi") >= REMOVE).select("term").distinct()
         removed = removed.filter(F.col("term").between(int(hashes[0]), int(hashes[-1]))).toPandas()["term"].to_numpy(np.int64)
         bc = docs.sparkSession.sparkContext.broadcast((hashes, np.isin(hashes, removed)))
