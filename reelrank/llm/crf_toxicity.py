@@ -19,7 +19,7 @@ probabilities whatever came before, so the recursions of all documents run
 together, in blocks that are multiplied up first.
 
 Defined cases: texts that are null, empty or without words score as a document
-with no toxic word; without both labels in the training rows every score is the
+with no toxic word; without both labels in the sample every score is the
 share of toxic labels (0 without any); rows repeating a doc_id in the labels
 count once, with the larger label.
 """
@@ -283,16 +283,19 @@ def train(docs: DataFrame, labels: DataFrame, in_training, max_toxic=MAX_TOXIC,
     """Fits the tagger to labelled documents for which ``in_training`` (a Column over doc_id) holds."""
     lab = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(in_training)
     ids = docs.select("doc_id", "text").withColumn("chars", F.coalesce(F.length("text"), F.lit(0)))
-    lab = ids.filter(F.col("chars") <= MAX_CHARS).select("doc_id").join(lab, "doc_id").distinct()
+    lab = ids.join(lab, "doc_id").groupBy("doc_id", "toxic").agg(F.min("chars").alias("chars"))
     n = {r["toxic"]: r["n"] for r in lab.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_bad, n_good = n.get(1, 0), n.get(0, 0)
     if not n_bad or not n_good:
         return Tagger(None, n_bad / max(1, n_bad + n_good))
-    pick = lambda t, k: lab.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(k)
+    short = lab.filter(F.col("chars") <= MAX_CHARS).select("doc_id", "toxic")
+    pick = lambda t, k: short.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(k)
     chosen = pick(1, max_toxic).unionByName(pick(0, max_clean))  # at most max_toxic + max_clean ids
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toPandas()
     rows = rows.sort_values("doc_id")
     toxic = rows["toxic"].to_numpy(int)
+    if len(set(toxic.tolist())) < 2:  # one label occurs in very long texts only
+        return Tagger(None, n_bad / (n_bad + n_good))
     pool: dict[str, str] = {}  # one string a distinct word
     words = [[pool.setdefault(w, w) for w in words_of(t)] for t in rows["text"]]
     del rows
