@@ -15,7 +15,7 @@ and only classes are joined.  With similarity s and a set of n tokens,
 Prefix tokens held by up to ``RARE`` classes are indexed singly.  If one of two
 linked classes has no frequent prefix token, the token they share is rare;
 otherwise both are among the classes with a frequent prefix token, which are
-indexed again in another order: rare tokens first, by counts of their tokens in
+indexed again in another order: rare tokens first, by counts of all tokens in
 ``SLOTS`` counters (any order is right, so counters may be shared).  There a
 passage that unrelated texts share comes last and leaves their prefixes.  Again
 rare prefix tokens are indexed singly, and only classes that still have a
@@ -56,7 +56,8 @@ PERCENT = 85
 K = 3
 SHORT = 5
 RARE = 48
-SLOTS = 1 << 22  # counters for the second order; a byte each is broadcast
+SLOTS = 1 << 20  # counters for the second order; a byte each is broadcast
+CHUNK = 1 << 16  # counters in a row of the table of signatures
 BLOCK = 512
 BROADCAST_IDS = 500_000  # id tables of up to so many rows are broadcast to the documents, larger ones joined by shuffle
 CACHE = 400_000
@@ -123,14 +124,19 @@ def _text_batches(batches: Iterator[pa.RecordBatch], size: int = 1000) -> Iterat
 
 def _signed(percent: int, shingle: int):
     def run(batches):
-        s = Shingler(shingle)
+        s, total = Shingler(shingle), np.zeros(SLOTS, np.int64)
         for b in _text_batches(batches):
             sets = [s.tokens(t) for t in b.column("text").to_pylist()]
+            total += np.bincount(np.concatenate(sets) & (SLOTS - 1), minlength=SLOTS) if sets else 0
             sig = [xxhash.xxh3_128_digest(a.tobytes()) if len(a) else None for a in sets]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([len(a) for a in sets], pa.int64()), pa.array(sig, pa.binary()),
                  _lists([a[:prefix_length(len(a), percent)] if len(a) else a for a in sets])],
                 names=["doc_id", "n", "sig", "prefix"])
+        for i in range(0, SLOTS, CHUNK):  # n = -1: the task's counters from i on
+            if total[i:i + CHUNK].any():
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([-1]), pa.array([None], pa.binary()), _lists([total[i:i + CHUNK]])],
+                                                 names=["doc_id", "n", "sig", "prefix"])
     return run
 
 
@@ -142,23 +148,15 @@ def _run_keys(tokens: np.ndarray, width: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _slot_counts(shingle: int):
-    def run(batches):
-        s, total = Shingler(shingle), np.zeros(SLOTS, np.int64)
-        for b in _text_batches(batches):
-            for t in b.column("text").to_pylist():
-                np.add.at(total, s.tokens(t) & (SLOTS - 1), 1)
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 1 << 16):
-            some = at[i:i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["slot", "n"])
-    return run
-
-
-def _levels(texts: DataFrame, shingle: int) -> np.ndarray:
-    """How frequent each counter's tokens are: 0 up to RARE, then one more with every doubling."""
-    counts = texts.select("text").mapInArrow(_slot_counts(shingle), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    often = counts.filter(F.col("n") > RARE).select("slot", (F.floor(F.log2(F.col("n") / RARE)) + 1).cast("byte").alias("level")).toPandas()
+def _levels(rows: DataFrame) -> np.ndarray:
+    """How frequent each counter's tokens are.  A counter has the mean of all from rare tokens; level 0 is up to RARE
+    (and up to what chance gives) above it, and each doubling is one level more."""
+    counts = rows.filter("n = -1").select("doc_id", F.posexplode("prefix").alias("at", "n")).groupBy(
+        (F.col("doc_id") + F.col("at")).cast("int").alias("slot")).agg(F.sum("n").alias("n"))
+    mean = (rows.filter("n = -1").agg(F.sum(F.aggregate("prefix", F.lit(0).cast("long"), lambda t, x: t + x))).first()[0] or 0) / SLOTS
+    above = F.col("n") - mean
+    often = counts.filter(above > max(RARE, 4 * mean ** 0.5)).select(
+        "slot", (F.floor(F.log2(above / RARE)) + 1).cast("byte").alias("level")).toPandas()
     out = np.zeros(SLOTS, np.uint8)
     out[often["slot"].to_numpy(np.int64)] = often["level"].to_numpy(np.uint8)
     return out
@@ -288,7 +286,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = S
     frequent = scratch.save(shared.filter(F.col("m") > RARE).groupBy("cid").agg(F.count("*").alias("f"), F.first("copies").alias("copies")))
     # The classes with frequent prefix tokens again, rarest tokens first.
     texts = _of_ids(docs, frequent.select(F.col("cid").alias("doc_id")), frequent.count()).select("doc_id", "text")
-    levels = docs.sparkSession.sparkContext.broadcast(_levels(texts, shingle))
+    levels = docs.sparkSession.sparkContext.broadcast(_levels(rows))
     post2 = scratch.save(texts.mapInArrow(_prefixes(percent, shingle, levels), "key long, cid long, n long"))
     held2 = scratch.save(post2.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"))
     shared2 = scratch.save(post2.join(held2, "key").distinct().join(frequent.select("cid", "copies"), "cid"))
@@ -364,7 +362,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = S
     comp = scratch.save(components(links, scratch)).select(F.col("node").alias("cid"), "component")
     scratch.drop(open_)
 
-    out = rows.select("doc_id", "n", "sig").join(classes.select("sig", "cid"), "sig", "left").join(comp, "cid", "left")
+    out = rows.filter("n >= 0").select("doc_id", "n", "sig").join(classes.select("sig", "cid"), "sig", "left").join(comp, "cid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "cid", "doc_id").alias("component_id"))
 
 
