@@ -9,26 +9,33 @@ share a trigger are neighbours; with the bytes they cover they form a
 prefix-free parse asks for.  Instead of n windows, some 2 n / m phrases are
 shuffled.
 
-A window is a suffix of its phrase up to the trigger followed by what comes
-after it in the parse, so the order of windows is found from two smaller
-orders.  Only places where two windows agree on all ``length`` bytes matter,
-so runs of equal entries are formed by hashes (64 bits for contexts and windows, 128 for context and phrase)
-and the order between runs is not spelled out:
+A window is a suffix of its phrase's *head* (the bytes before the trigger)
+followed by what the parse goes on with (the *tail*: the bytes from the trigger).
+So the corpus order of windows combines two smaller orders, of heads and of
+tails, and two windows are equal when, o bytes before their triggers, the heads
+agree on o bytes and the tails on the other length - o:
 
 1. parse: triggers grouped by the bytes after them (the context that every
    window of the phrase contains); contexts that occur once are dropped;
-2. dictionary: remaining phrases grouped by all their bytes.  All windows of a
-   phrase that occurs twice are repeated;
-3. phrases that occur once, but whose context repeats, end a repeat somewhere
-   inside.  They, and one copy of each other phrase of that context, are cut
-   into pieces of ``STEP`` windows.  Pieces whose common bytes occur once hold
-   no repeat, pieces that occur twice are repeated wholly, and only the windows
-   of the others are grouped one by one.
-
-A context, phrase or window with a third of all rows is counted by partial
-aggregation and never gathered.  Tables that go back to the texts (places by
-document) are broadcast up to ``BROADCAST_PLACES`` entries and joined by
-shuffle beyond.
+2. dictionary: the remaining phrases, distinct ones with their counts.  All
+   windows of a phrase that occurs twice are repeated;
+3. order: distinct phrases whose context others share, where at least one
+   occurs once, are sorted by tail (the parse's suffixes) and, read backwards
+   from the trigger, by head (the dictionary's suffixes), over range partitions
+   of the bytes.  Neighbours with common prefixes R of tails and L of heads share the
+   windows o = length - R to L.  The largest R and L of a phrase bound what it can
+   share with any other;
+4. offsets within those bounds that no neighbour settled (one phrase shares the head,
+   another one the tail) are looked up window by window, in their contexts only.
+
+Contexts, phrases and the windows of step 4 are compared by hashes (64 bits,
+128 for context and phrase together), step 3 by bytes.
+
+A context or phrase with a third of all rows is counted by partial aggregation
+and never gathered; a hot context spans as many range partitions as its
+phrases need.  Only the first and last phrase of every range partition reach the
+driver, which compares those on either side of a border.  Texts are joined
+with lists of places by shuffle, at every size.
 
 Defined cases: null is empty; texts under ``length`` bytes have no window;
 overlapping repeats count, within one text too; rows that are equal in doc_id
@@ -43,6 +50,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,15 +58,15 @@ from reelrank.llm.store import Scratch, text_or_empty
 
 LENGTH = 200
 GRAM = 8
-STEP = 16  # neighbouring windows that are first looked at together
-BROADCAST_PLACES = 2_000_000  # so many (row, place) entries, 24 bytes each, are broadcast at most
 
 _BASE = np.uint64(0x9E6C63D0876A9A47)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _VALUE = np.random.default_rng(9).integers(1, 1 << 63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-PIECES = "core long, whole long, row long, place long, alone boolean"
+OPEN = "key long, row long, place long, alone boolean, head binary, tail binary"
+FACTS = ("row long, place long, key long, alone boolean, ahead int, most_tail int, most_head int, sure array<struct<lo:int,hi:int>>, "
+         "part int, last boolean, head binary, tail binary")
 
 
 class Powers:
@@ -162,42 +170,130 @@ def _phrases(length: int):
     return run
 
 
-def _pieces(length: int, step: int):
-    """Windows of the asked places in pieces of ``step`` neighbours, counted from the trigger.
-
-    ``core`` stands for the bytes that all windows of such a piece contain (with context and piece number),
-    ``whole`` for all bytes of those windows of the piece that the place has.
-    """
+def _open_phrases(length: int):
+    """The asked phrases with their bytes: ``head`` backwards from the trigger, ``tail`` from the trigger on."""
     after = length - trigger_span(length) + 1
-    names = ["core", "whole", "row", "place", "alone"]
-    mix = lambda h, v: ((h.view(np.uint64) ^ v.astype(np.uint64)) * np.uint64(0x9FB21C651E98DF25)).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 some = batch.slice(i, 200)
-                out = [[np.empty(0, np.int64)] for _ in range(4)]
-                single = [np.empty(0, bool)]
+                out = [[] for _ in range(6)]
                 for row, text, places, alone in zip(*(some.column(c).to_pylist() for c in ("row", "text", "places", "alone"))):
-                    p = Parsed(text.encode("utf-8", "surrogatepass"), powers)
+                    data = text.encode("utf-8", "surrogatepass")
+                    p = Parsed(data, powers)
                     place = np.array(places, np.int64)
-                    a, n = place >> 16, place & 0xFFFF
+                    a = place >> 16
+                    b = a + (place & 0xFFFF) - 1
                     trigger, first, _ = p.phrases(length)
-                    of = np.repeat(np.arange(len(a)), n)  # the place of every window
-                    at = a[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-                    t = trigger[np.searchsorted(first, a, side="right") - 1][of]
-                    piece = (t - at) // step
-                    new = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (piece[1:] != piece[:-1]))))
-                    last = np.append(new[1:], len(of)) - 1
-                    t, piece, lo, hi = t[new], piece[new], at[new], at[last]
-                    core = p.hashes(t - step * piece, t - step * piece - step + 1 + length)
-                    core = mix(mix(core, p.hashes(t, t + after)), piece)
-                    whole = mix(mix(p.hashes(lo, hi + length), t - lo), t - hi)
-                    for o, v in zip(out, (core, whole, np.full(len(t), row, np.int64), lo << 16 | (hi - lo + 1))):
-                        o.append(v)
-                    single.append(np.array(alone, bool)[of[new]])
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(o)) for o in out), pa.array(np.concatenate(single))], names=names)
+                    t = trigger[np.searchsorted(first, a, side="right") - 1]
+                    out[0].extend(p.hashes(t, t + after).tolist())
+                    out[1].extend([row] * len(places))
+                    out[2].extend(places)
+                    out[3].extend(alone)
+                    for x, y, z in zip(a.tolist(), t.tolist(), (b + length).tolist()):
+                        out[4].append(data[x:y][::-1])
+                        out[5].append(data[y:z])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)],
+                                                 names=["key", "row", "place", "alone", "head", "tail"])
+    return run
+
+
+def _common(strings: list[bytes], width: int) -> np.ndarray:
+    """Length of the common prefix of every string (of ``width`` bytes at most) and the next one."""
+    size = np.array([len(v) for v in strings], np.int64)
+    grid = np.array(strings, f"S{max(width, 1)}").view(np.uint8).reshape(len(strings), -1)
+    differ = np.concatenate((grid[1:] != grid[:-1], np.ones((len(strings) - 1, 1), bool)), axis=1)
+    return np.minimum(differ.argmax(axis=1), np.minimum(size[1:], size[:-1]))
+
+
+def _neighbours(length: int):
+    """Of sorted phrases: what each shares with the one before and the one after it in its partition.
+
+    One row a phrase (``sure``: offsets before the trigger at which a neighbour has the same window), and
+    one for the first and the last phrase of the partition with their bytes (``part`` is set).
+    """
+    schema = pa.schema([("row", pa.int64()), ("place", pa.int64()), ("key", pa.int64()), ("alone", pa.bool_()), ("ahead", pa.int32()),
+                        ("most_tail", pa.int32()), ("most_head", pa.int32()),
+                        ("sure", pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))),
+                        ("part", pa.int32()), ("last", pa.bool_()), ("head", pa.binary()), ("tail", pa.binary())])
+    columns = ("row", "place", "key", "alone", "head", "tail")
+
+    def facts(rows: list[tuple], before: tuple[int, int], closing: bool):
+        """Of all rows, or of all but the last, whose next one is not known yet; and what the last shares with the one before."""
+        row, place, key, alone, head, tail = zip(*rows)
+        same = np.array(key[1:], np.int64) == np.array(key[:-1], np.int64)
+        tails, heads = (np.where(same, _common(list(v), length), 0).tolist() for v in (tail, head))
+        tails, heads = [before[0], *tails], [before[1], *heads]
+        carry = tails[-1], heads[-1]
+        n = len(rows) if closing else len(rows) - 1
+        tails.append(0), heads.append(0)
+        sure = [[{"lo": length - r, "hi": h} for r, h in ((tails[i], heads[i]), (tails[i + 1], heads[i + 1])) if length - r <= h]
+                for i in range(n)]
+        values = [row[:n], place[:n], key[:n], alone[:n], [len(v) for v in head[:n]],
+                  [max(tails[i], tails[i + 1]) for i in range(n)], [max(heads[i], heads[i + 1]) for i in range(n)], sure, *[[None] * n] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(v, k.type) for v, k in zip(values, schema)], schema=schema), carry
+
+    def edge(r: tuple, last: bool):
+        part = TaskContext.get().partitionId()
+        values = [r[0], r[1], r[2], None, None, None, None, None, part, last, r[4], r[5]]
+        return pa.RecordBatch.from_arrays([pa.array([v], k.type) for v, k in zip(values, schema)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = None, (0, 0)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2000):
+                rows = list(zip(*(batch.slice(i, 2000).column(c).to_pylist() for c in columns)))
+                if held is None:
+                    yield edge(rows[0], False)
+                else:
+                    rows.insert(0, held)
+                out, before = facts(rows, before, closing=False)
+                held = rows[-1]
+                yield out
+        if held is not None:
+            yield facts([held], before, closing=True)[0]
+            yield edge(held, True)
+    return run
+
+
+def _ordered(scratch: Scratch, phrases: DataFrame, by: list[str], length: int) -> DataFrame:
+    """What neighbours share when phrases are sorted by ``by``, over the borders of partitions as well."""
+    got = scratch.save(phrases.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_neighbours(length), FACTS))
+    edges = got.filter("part is not null").select("part", "last", "row", "place", "key", "head", "tail").orderBy("part", "last").collect()
+    across = []
+    for x, y in zip(edges[1::2], edges[2::2]):  # the last phrase of a partition and the first one of the next
+        if x.key == y.key:
+            r, h = (int(_common([bytes(x[c]), bytes(y[c])], length)[0]) for c in ("tail", "head"))
+            sure = [(length - r, h)] if length - r <= h else []
+            across += [(v.row, v.place, None, None, None, r, h, sure, None, None, None, None) for v in (x, y)]
+    facts = got.filter("part is null").unionByName(phrases.sparkSession.createDataFrame(across, FACTS))
+    return facts.drop("part", "last", "head", "tail")
+
+
+def _single_windows(length: int):
+    """The windows ``lo`` to ``hi`` bytes before the trigger of every phrase, by hash; ``asked`` where they are in ``rest``."""
+    names = ["core", "row", "start", "asked"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                some = batch.slice(i, 500)
+                out = [[np.empty(0, np.int64)] for _ in range(3)]
+                asked = [np.empty(0, bool)]
+                for row, place, head, tail, lo, hi, rest in zip(*(some.column(c).to_pylist()
+                                                                  for c in ("row", "place", "head", "tail", "lo", "hi", "rest"))):
+                    p = Parsed(head[::-1] + tail, powers)
+                    o = np.arange(lo, hi + 1)
+                    at = len(head) - o
+                    core = p.hashes(at, at + length).view(np.uint64) ^ (o.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+                    for v, x in zip(out, (core.view(np.int64), np.full(len(o), row, np.int64), (place >> 16) + at)):
+                        v.append(x)
+                    asked.append(np.isin(o, np.array(rest or [], np.int64)))
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(o)) for o in out), pa.array(np.concatenate(asked))], names=names)
     return run
 
 
@@ -212,9 +308,8 @@ def union(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _joined(df: DataFrame, by_row: DataFrame, how: str) -> DataFrame:
-    """df with a table keyed by row that holds lists of places."""
-    small = (by_row.agg(F.sum(F.size("places"))).first()[0] or 0) <= BROADCAST_PLACES
-    return df.join(F.broadcast(by_row) if small else by_row, "row", how)
+    """df with a table keyed by row that holds lists of places; the same plan at every size."""
+    return df.join(by_row.hint("merge"), "row", how)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -235,27 +330,32 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     span = (F.shiftright("place", 16) * (1 << 24) + size + (length - 1)).alias("place")
     whole = scratch.save(phrases.join(twice, ["key", "phrase"]).select("row", span))
     scratch.drop(phrases)
-    # 3. phrases that occur once in a context that others share: by pieces, then by single windows
+    # 3. phrases that occur once in a context that others share, and one copy of those others, in order
     shared = entries.groupBy("key").agg(F.count("*").alias("phrases"), F.min("n").alias("least")).filter("phrases > 1 and least = 1").select("key")
     asked = scratch.save(_by_row(entries.join(shared, "key").select("one.row", "one.place", (F.col("n") == 1).alias("alone"))))
     scratch.drop(entries)
-    pieces = scratch.save(_joined(texts, asked, "inner").mapInArrow(_pieces(length, STEP), PIECES))
-    scratch.drop(asked)
-    found = scratch.save(pieces.groupBy("core", "whole").agg(F.count("*").alias("n"), F.max("alone").alias("alone"),
-                                                            F.min(F.struct("row", "place")).alias("one")))
-    twice = scratch.save(pieces.filter("alone").join(found.filter("n > 1 and alone").select("core", "whole"), ["core", "whole"], "left_semi")
-                         .select("row", span))
-    scratch.drop(pieces)
-    undecided = found.withColumn("alone", F.col("alone") & (F.col("n") == 1))
-    cores = undecided.groupBy("core").agg(F.count("*").alias("wholes"), F.max("alone").alias("open")).filter("wholes > 1 and open").select("core")
-    asked = scratch.save(_by_row(undecided.join(cores, "core").select("one.row", "one.place", "alone")))
-    scratch.drop(found)
-    windows = scratch.save(_joined(texts, asked, "inner").mapInArrow(_pieces(length, 1), PIECES).drop("whole"))
+    opened = scratch.save(_joined(texts, asked, "inner").mapInArrow(_open_phrases(length), OPEN))
     scratch.drop(asked)
-    again = windows.groupBy("core").agg(F.count("*").alias("n"), F.max("alone").alias("any")).filter("n > 1 and any")
-    parts = windows.filter("alone").join(again.select("core"), "core", "left_semi").select("row", span)
-    places = scratch.save(whole.unionByName(twice).unionByName(parts).groupBy("row").agg(F.collect_list("place").alias("places")))
-    scratch.drop(windows, whole, twice)
+    facts = _ordered(scratch, opened, ["key", "tail", "head"], length).unionByName(_ordered(scratch, opened, ["key", "head", "tail"], length))
+    bounds = facts.groupBy("row", "place").agg(
+        F.max("key").alias("key"), F.max("alone").alias("alone"), F.max("ahead").alias("ahead"), (F.lit(length) - F.max("most_tail")).alias("lo"),
+        F.max("most_head").alias("hi"), F.array_distinct(F.flatten(F.collect_list("sure"))).alias("sure")).filter("lo <= hi")
+    settled = lambda o: F.exists("sure", lambda s: o.between(s["lo"], s["hi"]))
+    rest = F.when(F.col("alone"), F.filter(F.sequence("lo", "hi"), lambda o: ~settled(o)))
+    bounds = scratch.save(bounds.withColumn("rest", rest))
+    trigger = F.shiftright("place", 16) + F.col("ahead")
+    near = bounds.filter("alone").select("row", "place", "ahead", F.explode("sure").alias("s")) \
+        .select("row", ((trigger - F.col("s.hi")) * (1 << 24) + F.col("s.hi") - F.col("s.lo") + length).alias("place"))
+    # 4. offsets that no neighbour settled
+    keys = bounds.filter(F.size("rest") > 0).select("key").distinct()
+    unsettled = bounds.join(keys, "key", "left_semi").select("row", "place", "lo", "hi", "rest")
+    windows = scratch.save(opened.select("row", "place", "head", "tail").join(unsettled, ["row", "place"])
+                           .mapInArrow(_single_windows(length), "core long, row long, start long, asked boolean"))
+    again = windows.groupBy("core").agg(F.count("*").alias("n"), F.max("asked").alias("any")).filter("n > 1 and any")
+    parts = windows.filter("asked").join(again.select("core"), "core", "left_semi").select("row", (F.col("start") * (1 << 24) + length).alias("place"))
+    scratch.drop(opened)
+    places = scratch.save(whole.unionByName(near).unionByName(parts).groupBy("row").agg(F.collect_list("place").alias("places")))
+    scratch.drop(bounds, windows, whole)
     return places
 
 

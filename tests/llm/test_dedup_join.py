@@ -187,8 +187,29 @@ def test_repeats_match_brute_force(make, length):
     assert got == want
 
 
-def test_repeats_joined_by_shuffle(make, monkeypatch):
-    monkeypatch.setattr(pfp_dedup, "BROADCAST_PLACES", 0)
+@pytest.mark.parametrize("length", [200, 40])
+def test_repeats_of_cutouts_over_many_range_partitions(spark, make, length):
+    """Cut-outs of one text: a phrase shares its head with one neighbour and its tail with another, across borders."""
+    rng = random.Random(length)
+    base = "".join(rng.choice("abcdeé ") for _ in range(900))
+    rows = [(200, base[:500] + "\0\0"), (201, base[:500] + "\0")]
+    for i in range(120):
+        at, own = rng.randrange(900), "".join(rng.choice("uvwxyz") for _ in range(rng.randrange(60)))
+        rows.append((i, own + base[at:at + rng.randrange(length // 2, 2 * length)] + own[::-1]))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "29")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted((r.doc_id, sum(s["end"] - s["start"] for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest())
+                     for r in pfp_dedup.remove_repeats(make(rows), length).collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = sorted((i, *x) for (i, _), x in zip(rows, pfp_dedup.brute_force([t.encode() for _, t in rows], length)))
+    assert got == want
+
+
+def test_repeats_of_periodic_texts(make):
     rows = [(1, "ab" * 150), (2, "x" + "ab" * 150), (3, "short")]
     got = {r.doc_id: len(r.kept) for r in pfp_dedup.remove_repeats(make(rows)).collect()}
     assert got == {1: 0, 2: 1, 3: 5}
