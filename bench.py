@@ -46,6 +46,9 @@ def main() -> None:
     spark = local_session(cpus, shuffle_partitions=max(8, 2 * cpus), app="reelrank-bench")
 
     def run(name: str) -> float:
+        for model in Q._models.values():
+            if hasattr(model, "freqItemsets"):
+                model.freqItemsets.unpersist()
         Q._models.clear()
         t0 = time.perf_counter()
         Q.REGISTRY[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
