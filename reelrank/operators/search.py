@@ -62,9 +62,14 @@ def _matches(regex: bool) -> Column:
 def search_titles_batch(movies: DataFrame, links: DataFrame | None, terms: DataFrame, limit: int = 10, regex: bool = False) -> DataFrame:
     """term, rank, movieId, title, tmdbId: for every distinct term of ``terms``
     (column term) what ``search_titles`` gives.  Null and too short terms, and
-    terms without a hit, have no rows."""
+    terms without a hit, have no rows.
+
+    Spark estimates an exploded table at the size of the file it comes from, so
+    without hints it broadcasts the titles' trigrams through the driver; these
+    joins are shuffled ones at every size."""
     spark = movies.sparkSession
-    titles = movies.filter(F.col("title").isNotNull()).select("movieId", "title")
+    # dealt anew: a short file is few tasks, but its trigrams are many rows
+    titles = movies.filter(F.col("title").isNotNull()).select("movieId", "title").repartition("movieId")
     asked = terms.select("term").filter(F.length("term") >= MIN_QUERY_LENGTH).distinct()
     parts = F.array("term") if not regex else F.when(F.col("term").rlike(_PLAIN), F.split(
         F.regexp_replace("term", r"^\^|\$$", ""), r"\.[*+]?")).otherwise(F.array().cast("array<string>"))
@@ -72,11 +77,11 @@ def search_titles_batch(movies: DataFrame, links: DataFrame | None, terms: DataF
 
     postings = titles.select("movieId", "title", F.explode(_trigrams(_folded(F.col("title")))).alias("gram"))
     wanted = asked.select("term", F.explode("grams").alias("gram"))
-    counts = postings.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    counts = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     # a trigram that no title has rules the term out: it counts as rarest and joins nothing
-    rarest = wanted.join(counts, "gram", "left").groupBy("term").agg(
+    rarest = wanted.join(counts.hint("merge"), "gram", "left").groupBy("term").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).select("term", F.col("r.gram").alias("gram"))
-    indexed = rarest.join(postings, "gram").filter(_matches(regex)).select("term", "movieId", "title")
+    indexed = rarest.hint("merge").join(postings.hint("merge"), "gram").filter(_matches(regex)).select("term", "movieId", "title")
 
     scanned = asked.filter(F.size("grams") == 0).select("term")
     blocks = max(1, -(-scanned.count() // TERM_BLOCK))
@@ -85,9 +90,9 @@ def search_titles_batch(movies: DataFrame, links: DataFrame | None, terms: DataF
     grouped = scanned.groupBy(F.pmod(F.xxhash64("term"), F.lit(blocks)).cast("int").alias("block")).agg(
         F.collect_list("term").alias("terms")).withColumn("slice", every(slices))  # about TERM_BLOCK terms
     dealt = titles.withColumn("slice", F.pmod(F.xxhash64("movieId"), F.lit(slices)).cast("int")).withColumn("block", every(blocks))
-    tested = dealt.join(grouped, ["block", "slice"]).select("movieId", "title", F.explode("terms").alias("term")).filter(_matches(regex))
+    tested = dealt.hint("merge").join(grouped.hint("merge"), ["block", "slice"]).select("movieId", "title", F.explode("terms").alias("term")).filter(_matches(regex))
 
     w = Window.partitionBy("term").orderBy("movieId")
     hits = indexed.unionByName(tested).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
-    hits = hits.withColumn("tmdbId", F.lit(None).cast("long")) if links is None else with_external_id(hits, links, "left")
+    hits = hits.withColumn("tmdbId", F.lit(None).cast("long")) if links is None else with_external_id(hits.hint("merge"), links, "left")
     return hits.select("term", "rank", "movieId", "title", "tmdbId")

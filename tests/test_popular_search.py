@@ -97,3 +97,17 @@ def test_batch_search_equals_single_searches(spark):
         want = [(t, i + 1, r.movieId, r.title, r.tmdbId) for t in terms if t is not None
                 for i, r in enumerate(search.search_titles(movies, links, t, 3, regex).orderBy("movieId").collect())]
         assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_batch_search_broadcasts_nothing(spark, tmp_dir):
+    """Tables whose files are small: their trigrams and ids are shuffled all the same."""
+    from reelrank.operators import search
+
+    _movies(spark).write.parquet(f"{tmp_dir}/movies")
+    _links(spark, [(m, str(m), float(m + 100)) for m in range(5)]).write.parquet(f"{tmp_dir}/links")
+    movies, links = spark.read.parquet(f"{tmp_dir}/movies"), spark.read.parquet(f"{tmp_dir}/links")
+    for regex in (False, True):
+        found = search.search_titles_batch(movies, links, spark.createDataFrame([("widget",), ("re",), ("(d|g)e",)], "term string"), 3, regex)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+        assert ("widget", 1) in rows(found, "term", "movieId")
