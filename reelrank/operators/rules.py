@@ -1,7 +1,9 @@
 """Association rules: FP-Growth mining, rule lookups, related-film index.
 
-Mining uses Spark ML's distributed FP-Growth (conditional trees are grown per
-item group on the executors).  Its cost rises steeply as support falls, so
+Mining finds what Spark ML's FP-Growth finds, by two passes over parts of the
+baskets (``operators/itemsets.py``): FP-Growth sends a basket to almost every
+group of items and keeps their trees in memory, so with few, frequent items its
+trees grow with the number of users.  The cost rises steeply as support falls, so
 ``min_support`` is validated and defaults to the modelled app's 0.15.
 
 Lookups never scan rules per item: antecedents are exploded once and joined
@@ -13,11 +15,14 @@ ships at most ``top_k`` rows per task), and the surviving lists are small.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelrank.functions.lists import ordered_list, sorted_key
+from reelrank.operators.itemsets import frequent_sets
 from reelrank.session import cut_lineage
 
 # Defaults of the modelled app.
@@ -26,35 +31,43 @@ MIN_CONFIDENCE = 0.1
 RULE_TYPE = "Association Rule"
 
 
+@dataclass(frozen=True)
+class MinedRules:
+    """``freqItemsets`` (items, freq) and ``associationRules`` (antecedent, consequent, confidence, lift, support)."""
+
+    freqItemsets: DataFrame
+    associationRules: DataFrame
+
+
 def mine_rules(baskets: DataFrame, min_support: float = MIN_SUPPORT,
                min_confidence: float = MIN_CONFIDENCE, items_col: str = "items",
-               num_partitions: int | None = None):
-    """Fit FP-Growth on per-user baskets; returns the fitted model
-    (``freqItemsets``, ``associationRules``)."""
-    from pyspark.ml.fpm import FPGrowth
-
+               num_partitions: int | None = None) -> MinedRules:
+    """Frequent itemsets and rules of per-user baskets, with the rows and
+    doubles of Spark ML's ``FPGrowthModel``: null baskets don't count.
+    ``num_partitions``: parts of the baskets (default: by their number)."""
     if not 0 < min_support <= 1:
         raise ValueError("min_support must be in (0, 1]")
     if not 0 <= min_confidence <= 1:
         raise ValueError("min_confidence must be in [0, 1]")
-    tx = baskets.select(F.array_distinct(items_col).alias("items"))
-    fp = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence)
-    # Spark ML mines with as many item groups as the input has partitions;
-    # a basket table coalesced by AQE can have very few.  Use at least one
-    # group per core of the cluster.
-    fp = fp.setNumPartitions(num_partitions or max(
-        baskets.sparkSession.sparkContext.defaultParallelism, 1))
-    # ``fit`` only counts items; the itemsets are mined lazily afterwards and
-    # rule generation reads them twice (candidates and their join).  Keep
-    # the baskets cached until the itemsets are materialised once, then keep
-    # only the itemsets.
-    tx = tx.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = fp.fit(tx)
-        model.freqItemsets.persist(StorageLevel.MEMORY_AND_DISK).count()
-    finally:
-        tx.unpersist()
-    return model
+    tx = baskets.filter(F.col(items_col).isNotNull()).select(F.array_distinct(items_col).alias("items"))
+    found, n = frequent_sets(tx, min_support, parts=num_partitions)
+    # read three times by the rules
+    found = found.persist(StorageLevel.MEMORY_AND_DISK)
+    found.count()
+    return MinedRules(found, _rules_of(found, n, min_confidence))
+
+
+def _rules_of(itemsets: DataFrame, n: int, min_confidence: float) -> DataFrame:
+    """Every frequent itemset without one of its items => that item."""
+    whole = itemsets.filter(F.size("items") > 1).select("items", "freq", F.posexplode("items").alias("pos", "one"))
+    split = whole.select(F.filter("items", lambda x, i: i != F.col("pos")).alias("antecedent"), F.array("one").alias("consequent"), "freq")
+    known = lambda key, name: itemsets.select(F.col("items").alias(key), F.col("freq").alias(name))
+    rows = (split.join(known("antecedent", "_antecedent"), "antecedent")
+            .join(known("consequent", "_consequent").filter(F.size("consequent") == 1), "consequent"))
+    confidence = F.col("freq") / F.col("_antecedent")
+    return (rows.select("antecedent", "consequent", confidence.alias("confidence"),
+                        (confidence / (F.col("_consequent") / F.lit(n))).alias("lift"), (F.col("freq") / F.lit(n)).alias("support"))
+            .filter(F.col("confidence") >= min_confidence))
 
 
 def frequent_itemsets(model) -> DataFrame:

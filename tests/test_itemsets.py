@@ -31,3 +31,44 @@ def test_edge_cases(spark):
     assert sorted(r["items"] for r in itemsets.frequent_itemsets_by_parts(one, 1.0).collect()) == [["a"], ["a", "b"], ["b"]]
     with pytest.raises(ValueError):
         itemsets.frequent_itemsets_by_parts(one, 0.0)
+
+
+def _fp_growth(df, support, confidence):
+    from pyspark.ml.fpm import FPGrowth
+
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(df.selectExpr("array_distinct(items) as items"))
+    sets = {tuple(sorted(r["items"], key=str)): r["freq"] for r in model.freqItemsets.collect()}
+    rows = {(tuple(sorted(r["antecedent"], key=str)), tuple(r["consequent"])): (r["confidence"], r["lift"], r["support"])
+            for r in model.associationRules.collect()}
+    return sets, rows
+
+
+def test_mined_rules_equal_fp_growths_to_the_last_bit(spark):
+    data = [(k, [f"i{j}" for j in range(9) if (k * (j + 3)) % 7 < 4] + ([None] if k % 2 else []) + (["i1"] if k % 5 else [])) for k in range(300)]
+    words = spark.createDataFrame([*data, (300, None), (301, [])], "userId long, items array<string>").repartition(5)
+    numbers = words.selectExpr("userId", "transform(items, x -> cast(substr(x, 2) as int)) as items")
+    for df in (words, numbers):
+        for support, confidence, parts in ((0.1, 0.1, 4), (0.4, 0.6, None)):
+            model = rules.mine_rules(df, support, confidence, num_partitions=parts)
+            got = {tuple(sorted(r["items"], key=str)): r["freq"] for r in rules.frequent_itemsets(model).collect()}
+            found = {(tuple(sorted(r["antecedent"], key=str)), tuple(r["consequent"])): (r["confidence"], r["lift"], r["support"])
+                     for r in rules.association_rules(model).collect()}
+            assert (got, found) == _fp_growth(df, support, confidence)
+            assert len(got) > 10 and len(found) > 5
+
+
+def test_mining_is_dealt_by_baskets_and_not_by_items(spark, monkeypatch):
+    # FP-Growth grows a tree of all baskets for each of the three items, whatever their number
+    sizes = spark.sparkContext.accumulator(0)
+    here = itemsets.frequent_here
+
+    def counted(part, least):
+        assert len(part) < 400
+        sizes.add(1)
+        return here(part, least)
+
+    monkeypatch.setattr(itemsets, "frequent_here", counted)
+    df = spark.range(1000).selectExpr("filter(array('a', 'b', 'c'), x -> x <> 'c' or id % 3 = 0) as items")  # no null element
+    model = rules.mine_rules(df, 0.2, num_partitions=5)
+    assert {tuple(r["items"]): r["freq"] for r in model.freqItemsets.collect()}[("a", "b")] == 1000
+    assert sizes.value >= 5
