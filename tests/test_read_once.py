@@ -1,5 +1,8 @@
-"""Queries that read the clean ratings several times build them once."""
+"""Queries that read the clean ratings several times build them once, and factors travel as they are stored."""
 
+from pyspark.sql import functions as F
+
+from reelrank.operators import scoring
 from reelrank.plans import queries
 
 
@@ -22,3 +25,23 @@ def test_index_roundtrip_reads_written_ratings(spark, tmp_dir):
     out = queries.REGISTRY["index_roundtrip"](spark, tmp_dir)
     assert _scans(out) == 0
     assert sorted((r.userId, r.movieId) for r in out.collect()) == [(u, m) for u in range(12) for m in range(12)]
+
+
+def test_als_model_roundtrip_reads_written_ratings(spark, tmp_dir):
+    _tables(spark, tmp_dir)
+    out = queries.REGISTRY["als_model_roundtrip"](spark, tmp_dir)
+    assert _scans(out) == 0
+    assert sorted((r.userId, r.n, r.same) for r in out.collect()) == [(u, 12, True) for u in range(12)]
+
+
+def test_float_factors_are_sent_as_floats(spark):
+    users = spark.range(4).selectExpr("cast(id as int) as id", "array(cast(id + 0.1 as float), 2.5F, cast(null as float)) as features")
+    items = spark.range(3).selectExpr("cast(id as int) as id", "array(1.3F, cast(id as float), 0.5F) as features")
+    pairs = users.crossJoin(items.select(F.col("id").alias("movieId"))).select(F.col("id").cast("long").alias("userId"), F.col("movieId").cast("long"))
+    whole = lambda df: df.withColumn("features", F.filter("features", lambda x: x.isNotNull()))
+    doubles = lambda df: df.withColumn("features", F.col("features").cast("array<double>"))
+    short = items.withColumn("features", F.slice("features", 1, 2))
+    got = scoring.predict_pairs(pairs, whole(users), short)
+    assert "array<double>" not in got._jdf.queryExecution().analyzed().toString()
+    assert sorted(got.collect()) == sorted(scoring.predict_pairs(pairs, doubles(whole(users)), doubles(short)).collect())
+    assert dict(scoring.fit_residuals(pairs.withColumn("rating", F.lit(3.0)), whole(users), short, 2, 0.1).dtypes)["least"] == "double"
