@@ -15,7 +15,9 @@ A shard is one range partition of doc_id; its start is the running total of
 the shards before it (one row a shard).  Texts are encoded by the tokenizers
 library.  Its pre-tokenizer never joins text across white space, so a worker
 encodes chunks between ASCII white space (A-Z lowered if the tokenizer does so)
-and keeps those it has met lately.
+and keeps those it has met lately.  Chunks of plain words and marks go to the
+library's model pre-token by pre-token, if the tokenizer's steps before it are
+those of ``KNOWN``; all others, and other tokenizers, through the whole library.
 
 Defined cases: null text is empty and holds the end id alone; null doc_ids
 come first; rows repeating a doc_id stand next to each other; an empty table
@@ -25,7 +27,10 @@ gives an empty file.
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -35,13 +40,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelrank.llm.store import ASCII_SPACE, text_or_empty
+from reelrank.llm.store import text_or_empty
 
 STEP = 64              # ones between two select samples
 BLOCK_IDS = 1 << 20    # a block ends at the first document that fills it
 CACHE = 300_000        # chunks kept in each of two generations
 TEXTS = 128            # texts looked up together
-CLOSING = frozenset(".,;:!?")
 END_ID = 2
 
 BLOCKS = ("shard int, block int, before long, n_docs int, n_ids long, wide boolean, n_null int, first_id long, "
@@ -103,8 +107,25 @@ def ef_select(data: bytes, i: int) -> int:
 
 # ---------------------------------------------------------------- encoding
 
-_SPACED = bytes(32 if chr(b) in ASCII_SPACE else b for b in range(256))
-_LOWERED = bytes(b + 32 if 65 <= b <= 90 else b for b in _SPACED)
+#: Of a tokenizer with this normalizer and pre-tokenizer, ``RUNS`` are the pre-tokens of a chunk that they cover: letters of ASCII and
+#: Latin-1, single digits, and ASCII marks but the apostrophe (it may begin "'s" and its like) and "<" (it begins added tokens).
+KNOWN = (
+    {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]})
+RUNS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:;=>?@\[-`{-~]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter of every byte in a byte-level vocabulary: printing ones stand for themselves."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+BYTE_LETTERS = _byte_letters()
 
 
 class Encoder:
@@ -115,41 +136,61 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
+        t = self.tokenizer = Tokenizer.from_file(path)
+        self.model = t.model
+        self.wide = t.get_vocab_size() > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
-        self.folds = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
-        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-
-    def _learn(self, chunks: set[str]) -> None:
+        self.folds = t.normalizer is not None and t.normalizer.normalize_str("A") == "a"
+        self.special = [a.content.lower().encode() for a in t.get_added_tokens_decoder().values()]
+        steps = tuple(x and json.loads(x.__getstate__()) for x in (t.normalizer, t.pre_tokenizer))
+        self.by_runs = steps == KNOWN and all(b"<" in s for s in self.special)
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'I' if self.wide else 'H'}", *ids)
+
+    def _run(self, run: str) -> bytes:
+        """Ids of one pre-token, by the library's model: normalizing and pre-tokenizing would change nothing but case."""
+        run = run.lower()
+        return self._packed([t.id for t in self.model.tokenize(
+            run if run.isascii() else run.encode().decode("latin-1").translate(BYTE_LETTERS))])
+
+    def _part(self, run: str) -> bytes:
+        """Ids of a pre-token of several in a chunk; kept like a chunk."""
+        key = run.lower().encode()
+        ids = self.young.get(key) or self.old.get(key) or self._run(run)
+        self.young[key] = ids
+        return ids
+
+    def _learn(self, chunks: set[bytes]) -> None:
         """Puts the chunks into the young generation."""
         back = [c for c in chunks if c in self.old]
         self.young.update(zip(back, map(self.old.__getitem__, back)))
         chunks.difference_update(back)
-        # a letter before one closing mark: the pre-tokenizer parts them, so the stem's ids do
-        closed = [c for c in chunks if len(c) > 1 and c[-1] in CLOSING and "a" <= c[-2] <= "z"]
-        chunks.difference_update(closed)
-        stems = {part for c in closed for part in (c[:-1], c[-1])}
-        new = list(chunks.union(s for s in stems if s not in self.young))
-        for chunk, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.young[chunk] = np.array(e.ids, self.kind).tobytes()
-        for c in closed:
-            self.young[c] = self.young[c[:-1]] + self.young[c[-1]]
-
-    def _chunks(self, text: str) -> list[str]:
+        other = []
+        for c in chunks:
+            chunk = c.decode("utf-8", "surrogatepass")
+            runs = RUNS.findall(chunk) if self.by_runs else []
+            if sum(map(len, runs)) != len(chunk):
+                other.append((c, chunk))
+            else:
+                self.young[c] = self._run(chunk) if len(runs) == 1 else b"".join(map(self._part, runs))
+        for (c, _), e in zip(other, self.tokenizer.encode_batch_fast([chunk for _, chunk in other], add_special_tokens=False)):
+            self.young[c] = self._packed(e.ids)
+
+    def _chunks(self, text: str) -> list[bytes]:
         raw = text.encode("utf-8", "surrogatepass")
-        plain = raw.translate(_LOWERED)
+        plain = raw.lower()  # A-Z alone
         if not self.folds or any(s in plain for s in self.special):  # special tokens are found by their case
-            plain = raw.translate(_SPACED)
-        return plain.decode("utf-8", "surrogatepass").split(" ")
+            plain = raw
+        return plain.split()  # at ASCII white space
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         split = [self._chunks(t) for t in texts]
         new = set().union(*split).difference(self.young)
         if len(self.young) + len(new) > CACHE:
-            self.young, self.old = {"": b""}, self.young
+            self.young, self.old = {}, self.young
             new = set().union(*split).difference(self.young)
         self._learn(new)
         for chunks in split:

@@ -9,7 +9,7 @@ from llm_paths import SF01
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 import __spark_entry__ as E
 import corpus_pipeline
@@ -112,6 +112,35 @@ def test_elias_fano_is_near_minimal():
     assert len(token_files.ef_encode(v)) * 8 / n < 2 + np.log2(u / n) + 1
 
 
+PIECES = ["Plain", "words", "École", "Straße", "ÿ", "don't", "7", "1234", "!?", "...", "(", "'s", "<|endoftext|>", "<", "µ", "ª", "×", "\u212b", "e\u0301", "İ", "ΑΣ", "½", "🙂", "\x1c", "|", "~"]
+
+
+@given(st.lists(st.lists(st.sampled_from(PIECES), min_size=1, max_size=5).map("".join), max_size=12).map(" ".join))
+@settings(max_examples=300, deadline=None)
+def test_encoder_by_runs_equals_the_library(text):
+    enc = token_files.encoder(TOKENIZER)
+    want = np.array(enc.tokenizer.encode(text, add_special_tokens=False).ids, enc.kind).tobytes()
+    assert list(enc([text, text])) == [want, want]
+
+
+def test_encoder_sends_plain_chunks_to_the_model_alone(tmp_path):
+    enc, sent = token_files.Encoder(TOKENIZER), []
+
+    class Library:
+        def encode_batch_fast(self, chunks, **kw):
+            sent.extend(chunks)
+            return enc_library.encode_batch_fast(chunks, **kw)
+
+    enc_library, enc.tokenizer = enc.tokenizer, Library()
+    list(enc(["Plain words, École (1234)!", "don't Ωmega"]))
+    assert sorted(sent) == ["don't", "Ωmega"]
+    # another pre-tokenizer: everything goes through the library
+    other = Tokenizer.from_file(TOKENIZER)
+    other.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Digits(), pre_tokenizers.ByteLevel(add_prefix_space=False)])
+    other.save(str(tmp_path / "t.json"))
+    assert not token_files.Encoder(str(tmp_path / "t.json")).by_runs
+
+
 def test_token_files_round_trip(spark, make, empty, tmp_path):
     odd = ["", None, "Don't STOP <|endoftext|> x", "a\x1cb\x0b c　d́ é", "héllo\nwörld\t!!", "x" * 5000, "the " * 20_000, "1234 ½ 🙂🙂", "Ab, ab, w!!! ab?! !, <|ENDOFTEXT|> İx ΑΣ."]
     rows = list(enumerate(odd * 5)) + [(3, "again"), (3, "again"), (-7, "minus"), (None, "null id")]
