@@ -3,10 +3,10 @@
 Scale notes.  Counts are hash aggregates with map-side partial aggregation,
 so a user or film holding a third of all rows still costs one small partial
 row per task.  The activity filter reads the two key columns once for both
-counts (grouping sets) and the rows once; the rows shuffle for the user
-semi-join (the film key set is usually small enough for AQE to broadcast by
-measured size).  Both sides of each semi-join are plain shuffles, so AQE
-splits a hot user or film over several tasks.
+counts (grouping sets) and the rows once.  Where few users or films fall out,
+their ids are broadcast in an anti-join and the rows stay where they are; else
+the rows shuffle for a semi-join with the ids that stay, both sides plain
+shuffles, so AQE splits a hot user or film over several tasks.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ RATING_COLS = ("userId", "movieId", "rating", "timestamp")
 MIN_USER_RATINGS = 5
 MIN_MOVIE_RATINGS = 10
 MIN_RATING_FOR_RULES = 3.5
+FEW_IDS = 100_000  # ids that filter_active broadcasts at most; results don't depend on it
 
 
 def rating_counts(ratings: DataFrame, key: str, name: str = "count") -> DataFrame:
@@ -54,11 +55,21 @@ def filter_active(ratings: DataFrame, min_user: int = MIN_USER_RATINGS,
     a checkpoint folder: one row per user or film).  A semi-join against an
     aggregate on its own key would have no shuffle on that side, and AQE splits
     a skewed partition only between two plain shuffles; against the written
-    counts it can, so a user holding a third of the rows is no single task."""
+    counts it can, so a user holding a third of the rows is no single task.
+    Where at most ``FEW_IDS`` fall out, no row is shuffled (unless the session
+    forbids broadcasts)."""
     counts = cut_lineage(activity_counts(ratings))
-    users = counts.filter((F.col("gid") == 1) & (F.col("n") >= min_user)).select("userId")
-    items = counts.filter((F.col("gid") == 2) & (F.col("n") >= min_item)).select("movieId")
-    return ratings.join(users, "userId", "left_semi").join(items, "movieId", "left_semi").select(*RATING_COLS)
+    lacking = {r["gid"]: r["n"] for r in counts.filter(F.col("n") < F.when(F.col("gid") == 1, min_user).otherwise(min_item))
+               .groupBy("gid").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    may_send = not ratings.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").startswith("-")
+    out = ratings
+    for gid, key, least in ((1, "userId", min_user), (2, "movieId", min_item)):
+        of_key = counts.filter(F.col("gid") == gid)
+        if may_send and lacking.get(gid, 0) <= FEW_IDS:
+            out = out.filter(F.col(key).isNotNull()).join(F.broadcast(of_key.filter(F.col("n") < least).select(key)), key, "left_anti")
+        else:
+            out = out.join(of_key.filter(F.col("n") >= least).select(key), key, "left_semi")
+    return out.select(*RATING_COLS)
 
 
 def high_rated(ratings: DataFrame, min_rating: float = MIN_RATING_FOR_RULES) -> DataFrame:

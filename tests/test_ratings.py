@@ -46,3 +46,15 @@ def test_empty_input_keeps_schema(spark):
     df = spark.createDataFrame([], SCHEMA)
     out = R.filter_active(df)
     assert out.count() == 0 and out.columns == ["userId", "movieId", "rating", "timestamp"]
+
+
+def test_filter_active_moves_no_row_for_few_ids(spark, monkeypatch):
+    data = [(u, m, 4.0, 1) for u in range(1, 9) for m in range(10, 14)]
+    data += [(9, 10, 1.0, 1), (1, 99, 1.0, 2), (None, 10, 2.0, 3), (None, 11, 2.0, 3), (2, None, 2.0, 3), (3, None, 2.0, 3), (None, None, 1.0, 1)] * 2
+    df = spark.createDataFrame(data, SCHEMA)
+    out = R.filter_active(df, min_user=3, min_item=3)
+    got = rows(out)
+    assert got == sorted(d for d in data if d[0] not in (None, 9) and d[1] not in (None, 99))
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(R, "FEW_IDS", 0)
+    assert rows(R.filter_active(df, min_user=3, min_item=3)) == got
