@@ -45,7 +45,7 @@ from reelrank.llm.store import text_or_empty
 STEP = 64              # ones between two select samples
 BLOCK_IDS = 1 << 20    # a block ends at the first document that fills it
 CACHE = 300_000        # chunks kept in each of two generations
-TEXTS = 128            # texts looked up together
+TEXTS = 128            # texts held as Python strings at once
 END_ID = 2
 
 BLOCKS = ("shard int, block int, before long, n_docs int, n_ids long, wide boolean, n_null int, first_id long, "
@@ -128,6 +128,18 @@ def _byte_letters() -> dict[int, int]:
 BYTE_LETTERS = _byte_letters()
 
 
+class _Young(dict):
+    """Chunks met lately; one that isn't there is learnt when it is looked up."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self[chunk] = self.learn(chunk)
+        return ids
+
+
 class Encoder:
     """Ids of texts, chunk by chunk.  Chunks already encoded are kept in two generations of ``CACHE``
     each: when the young one is full it becomes the old one, and chunks met again move back."""
@@ -144,41 +156,26 @@ class Encoder:
         self.special = [a.content.lower().encode() for a in t.get_added_tokens_decoder().values()]
         steps = tuple(x and json.loads(x.__getstate__()) for x in (t.normalizer, t.pre_tokenizer))
         self.by_runs = steps == KNOWN and all(b"<" in s for s in self.special)
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.young, self.old = _Young(self._learn), {}
 
     def _packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'I' if self.wide else 'H'}", *ids)
 
-    def _run(self, run: str) -> bytes:
-        """Ids of one pre-token, by the library's model: normalizing and pre-tokenizing would change nothing but case."""
-        run = run.lower()
+    def _learn(self, chunk: bytes) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is not None:
+            return ids
+        text = chunk.decode("utf-8", "surrogatepass")
+        runs = RUNS.findall(text) if self.by_runs else []
+        if sum(map(len, runs)) != len(text):
+            return self._packed(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+        if len(runs) > 1:
+            return b"".join([self.young[run.lower().encode()] for run in runs])
+        # one pre-token, which normalizing and pre-tokenizing would change in case alone: the library's model does
+        run = text.lower()
         return self._packed([t.id for t in self.model.tokenize(
             run if run.isascii() else run.encode().decode("latin-1").translate(BYTE_LETTERS))])
 
-    def _part(self, run: str) -> bytes:
-        """Ids of a pre-token of several in a chunk; kept like a chunk."""
-        key = run.lower().encode()
-        ids = self.young.get(key) or self.old.get(key) or self._run(run)
-        self.young[key] = ids
-        return ids
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        """Puts the chunks into the young generation."""
-        back = [c for c in chunks if c in self.old]
-        self.young.update(zip(back, map(self.old.__getitem__, back)))
-        chunks.difference_update(back)
-        other = []
-        for c in chunks:
-            chunk = c.decode("utf-8", "surrogatepass")
-            runs = RUNS.findall(chunk) if self.by_runs else []
-            if sum(map(len, runs)) != len(chunk):
-                other.append((c, chunk))
-            else:
-                self.young[c] = self._run(chunk) if len(runs) == 1 else b"".join(map(self._part, runs))
-        for (c, _), e in zip(other, self.tokenizer.encode_batch_fast([chunk for _, chunk in other], add_special_tokens=False)):
-            self.young[c] = self._packed(e.ids)
-
     def _chunks(self, text: str) -> list[bytes]:
         raw = text.encode("utf-8", "surrogatepass")
         plain = raw.lower()  # A-Z alone
@@ -187,14 +184,10 @@ class Encoder:
         return plain.split()  # at ASCII white space
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        split = [self._chunks(t) for t in texts]
-        new = set().union(*split).difference(self.young)
-        if len(self.young) + len(new) > CACHE:
-            self.young, self.old = {}, self.young
-            new = set().union(*split).difference(self.young)
-        self._learn(new)
-        for chunks in split:
-            yield b"".join(map(self.young.__getitem__, chunks))
+        for text in texts:
+            if len(self.young) > CACHE:
+                self.young, self.old = _Young(self._learn), self.young
+            yield b"".join(map(self.young.__getitem__, self._chunks(text)))
 
 
 @functools.lru_cache(1)
