@@ -34,6 +34,18 @@ def test_als_model_roundtrip_reads_written_ratings(spark, tmp_dir):
     assert sorted((r.userId, r.n, r.same) for r in out.collect()) == [(u, 12, True) for u in range(12)]
 
 
+def test_als_fit_optimal_builds_clean_ratings_once(spark, tmp_dir, monkeypatch):
+    """The fit and its check read one written copy, without the timestamps that neither needs."""
+    _tables(spark, tmp_dir)
+    built, written, clean, write = [], [], queries._clean, queries.sinks.write_table
+    monkeypatch.setattr(queries, "_clean", lambda *a: built.append(a) or clean(*a))
+    monkeypatch.setattr(queries.sinks, "write_table", lambda df, path, *a, **b: written.append(df.columns) or write(df, path, *a, **b))
+    out = queries.REGISTRY["als_fit_optimal"](spark, tmp_dir)
+    assert _scans(out) == 0 and len(built) == 1
+    assert written == [["userId", "movieId", "rating"]]
+    assert sorted(tuple(r) for r in out.collect()) == [(u, 12, True, True) for u in range(12)]
+
+
 def test_float_factors_are_sent_as_floats(spark):
     users = spark.range(4).selectExpr("cast(id as int) as id", "array(cast(id + 0.1 as float), 2.5F, cast(null as float)) as features")
     items = spark.range(3).selectExpr("cast(id as int) as id", "array(1.3F, cast(id as float), 0.5F) as features")
