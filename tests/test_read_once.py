@@ -57,3 +57,19 @@ def test_float_factors_are_sent_as_floats(spark):
     assert "array<double>" not in got._jdf.queryExecution().analyzed().toString()
     assert sorted(got.collect()) == sorted(scoring.predict_pairs(pairs, doubles(whole(users)), doubles(short)).collect())
     assert dict(scoring.fit_residuals(pairs.withColumn("rating", F.lit(3.0)), whole(users), short, 2, 0.1).dtypes)["least"] == "double"
+
+
+def _parts(spark, path):
+    spark.range(12).selectExpr("id as p_partkey", "concat('Brand#', id % 3) as p_brand", "'red' as p_name", "'steel' as p_type",
+                               "cast(1 as int) as p_size").write.parquet(path + "/part.parquet")
+
+
+def test_profile_queries_build_ratings_once(spark, tmp_dir, monkeypatch):
+    _tables(spark, tmp_dir)
+    _parts(spark, tmp_dir)
+    built, view = [], queries.tv.ratings
+    monkeypatch.setattr(queries.tv, "ratings", lambda *a: built.append(a) or view(*a))
+    monkeypatch.setattr(queries, "MIN_VOTES", 12)
+    out = queries.REGISTRY["profile_candidates_gated"](spark, tmp_dir)
+    assert _scans(out) == 0 and len(built) == 1
+    assert out.groupBy("userId").count().filter("count = 5").count() == 12
