@@ -73,3 +73,12 @@ def test_profile_queries_build_ratings_once(spark, tmp_dir, monkeypatch):
     out = queries.REGISTRY["profile_candidates_gated"](spark, tmp_dir)
     assert _scans(out) == 0 and len(built) == 1
     assert out.groupBy("userId").count().filter("count = 5").count() == 12
+
+
+def test_als_lists_verified_makes_its_lists_once(spark, tmp_dir, monkeypatch):
+    _tables(spark, tmp_dir)
+    written, write = [], queries.sinks.write_table
+    monkeypatch.setattr(queries.sinks, "write_table", lambda df, path, *a, **b: written.append(df.columns) or write(df, path, *a, **b))
+    out = queries.REGISTRY["als_lists_verified"](spark, tmp_dir)
+    assert ["userId", "pos", "movieId", "rating"] in written
+    assert sorted(r.userId for r in out.filter("n = 12 and ordered and scored").collect()) == list(range(12))
