@@ -81,3 +81,16 @@ def test_gated_lists_can_exclude_rated(spark, fitted):
                                    top_k=5, exclude_rated=True)
     assert kept.join(r, ["userId", "movieId"]).count() == 0
     assert kept.count() > 0
+
+
+def test_blocks_follow_the_ratings(spark, monkeypatch):
+    """More ratings than blocks should hold make more blocks, and nothing waits in the heap between the stages."""
+    from pyspark.ml.recommendation import ALS
+
+    asked, levels, blocks, level = [], [], ALS.setNumBlocks, ALS.setIntermediateStorageLevel
+    monkeypatch.setattr(ALS, "setNumBlocks", lambda self, n: asked.append(n) or blocks(self, n))
+    monkeypatch.setattr(ALS, "setIntermediateStorageLevel", lambda self, kind: levels.append(kind) or level(self, kind))
+    data = spark.range(60).selectExpr("cast(id % 10 as int) as userId", "cast(id % 6 as int) as movieId", "3.0D as rating")
+    assert als.fit_als(data, rank=2, max_iter=1, num_blocks=2, ratings_a_block=10).userFactors.count() == 10
+    als.fit_als(data, rank=2, max_iter=1, num_blocks=2)
+    assert asked == [6, 2] and levels == ["DISK_ONLY"] * 2
