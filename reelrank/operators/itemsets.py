@@ -33,8 +33,9 @@ def _order(item):
     return item is None, item
 
 
-def _occurrences(baskets: pa.ChunkedArray, least: int = 1) -> dict[str, int]:
-    """Per item of ``least`` baskets or more the baskets that hold it, as the bits of a number."""
+def _occurrences(baskets: pa.ChunkedArray, least: int = 1, among: set | None = None) -> dict[str, int]:
+    """Per item of ``least`` baskets or more (of those ``among``) the baskets that hold it, as the bits of a number:
+    up to a bit a basket and item, so only for items that are asked for."""
     sets = baskets.combine_chunks()
     if not len(sets):
         return {}
@@ -44,7 +45,7 @@ def _occurrences(baskets: pa.ChunkedArray, least: int = 1) -> dict[str, int]:
     counts = np.bincount(codes, minlength=len(coded.dictionary))
     found = {}
     for item, end, n in zip(coded.dictionary.to_pylist(), np.cumsum(counts), counts):
-        if n >= least:
+        if n >= least and (among is None or item in among):
             held = np.zeros(len(sets), np.uint8)
             held[by_item[end - n:end]] = 1
             found[item] = int.from_bytes(np.packbits(held, bitorder="little").tobytes(), "little")
@@ -96,8 +97,9 @@ def frequent_sets(baskets: DataFrame, min_support: float, part_rows: int = PART_
     told = dealt.withColumn("block", every(blocks))
 
     def count(sets: pa.Table, part: pa.Table) -> pa.Table:
-        where, keep, freq = _occurrences(part["items"]) if part.num_rows else {}, [], []
-        for items in sets["items"].to_pylist() if sets.num_rows else []:
+        listed, keep, freq = sets["items"].to_pylist() if sets.num_rows else [], [], []
+        where = _occurrences(part["items"], among={item for items in listed for item in items}) if listed and part.num_rows else {}
+        for items in listed:
             rows = -1
             for item in items:
                 rows &= where.get(item, 0)

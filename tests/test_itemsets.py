@@ -72,3 +72,15 @@ def test_mining_is_dealt_by_baskets_and_not_by_items(spark, monkeypatch):
     model = rules.mine_rules(df, 0.2, num_partitions=5)
     assert {tuple(r["items"]): r["freq"] for r in model.freqItemsets.collect()}[("a", "b")] == 1000
     assert sizes.value >= 5
+
+
+def test_only_asked_items_get_a_bit_a_basket():
+    """Titles that no candidate names cost no memory: a part of 50,000 baskets holds hundreds of thousands of them."""
+    import pyarrow as pa
+
+    from reelrank.operators.itemsets import _occurrences
+
+    baskets = pa.chunked_array([pa.array([["a", f"only {k}", None] for k in range(100)], pa.list_(pa.string()))])
+    assert set(_occurrences(baskets, among={"a", None, "nowhere"})) == {"a", None}
+    assert len(_occurrences(baskets)) == 102 and _occurrences(baskets, among=set()) == {}
+    assert _occurrences(baskets, among={"a"})["a"] == _occurrences(baskets)["a"] == (1 << 100) - 1
